@@ -88,7 +88,7 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) ->
             while todo:
                 used = np.minimum(configs[k], left)  # a length that has run out leaves its space open
                 at = np.flatnonzero(used)
-                if len(at) < np.count_nonzero(configs[k]) and used @ lengths < 0.5 * capacity:
+                if len(at) < np.count_nonzero(configs[k]) and used @ lengths < capacity:
                     break
                 n = int(min(todo, (left[at] // used[at]).min()))
                 left[at] -= n * used[at]
