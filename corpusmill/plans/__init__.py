@@ -8,3 +8,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+from corpusmill.plans import matching, trees  # noqa: E402, F401
