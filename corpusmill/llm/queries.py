@@ -82,7 +82,7 @@ select min(root) first_id, node doc_id from r group by node having min(root) <>
     "p2_found": rf"""
 with k as (
   select record_id, {words_sql("text")} ws,
-    case when meta is null then null else list_sort(list_transform(json_keys(meta), f -> f || chr(1) || array_to_string({words_sql("json_extract_string(meta, '$.\"' || f || '\"')")}, ' '))) end fields
+    case when meta is null then null else list_sort(list_transform(json_keys(meta), lambda f: f || chr(1) || array_to_string({words_sql("json_extract_string(meta, '$.' || f)")}, ' '))) end fields
   from records where text is not null and trim(regexp_replace(text, '[\s\p{{Z}}\x1c-\x1f\x85]+', ' ', 'g')) <> ''),
 g as (select record_id, min(record_id) over (partition by array_to_string(ws, ' '), fields) low from k)
 select low record_id, record_id copy_id from g where low <> record_id""",
