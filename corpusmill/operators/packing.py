@@ -54,7 +54,7 @@ def greedy_chunks(df: DataFrame, order: str, size: str, limit: int, rows: int =
         return pd.DataFrame({"p": [int(pdf["_p"].iloc[0])], "ends": [ends], "counts": [counts]})
 
     told = cut.groupBy("_p").applyInPandas(summary, "p int, ends array<bigint>, counts array<bigint>").orderBy("p").collect()
-    states, state, done = {}, limit, 0  # full at first, so that the first row begins a chunk
+    states, state, done = {}, 0, 1
     for r in told:
         states[r.p] = (state, done)
         state, done = min(limit, r.ends[state]), done + r.counts[state]
@@ -68,6 +68,6 @@ def greedy_chunks(df: DataFrame, order: str, size: str, limit: int, rows: int =
         k = _first(np.concatenate([[0], np.cumsum(sizes)]), state, limit)
         while k < len(sizes):
             starts[k], k = 1, after[k]
-        return pd.DataFrame({order: pdf[order], "chunk": np.maximum(done + np.cumsum(starts), 1)})
+        return pd.DataFrame({order: pdf[order], "chunk": done + np.cumsum(starts)})
 
     return cut.groupBy("_p").applyInPandas(number, f"`{order}` {kind}, chunk bigint")
