@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -72,6 +73,16 @@ def content_key(text: Column) -> Column:
     return F.sha2(squeezed(nfc(text)), 256)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, however often f uses it: inside a lambda of an array of one,
+    where the optimizer can't put the expression in place of the variable."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def grams(words: Column, n: int) -> Column:
     """Runs of n words, in order of place; none if there are fewer."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(words, runs)

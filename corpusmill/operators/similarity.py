@@ -16,7 +16,7 @@ def gram_rows(docs: DataFrame, id: str, words: str, n: int) -> DataFrame:
 
 def gram_sets(docs: DataFrame, id: str, words: str, n: int) -> DataFrame:
     """(id, words_n, grams): the distinct runs; documents without one are left out."""
-    return docs.select(id, F.size(words).alias("words_n"), F.array_distinct(grams(F.col(words), n)).alias("grams")).where(F.size("grams") > 0)
+    return docs.select(id, F.size(words).alias("words_n"), F.array_distinct(grams(F.col(words), n)).alias("grams")).where(F.col("words_n") >= n)
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, least: float, self_join: bool = False) -> DataFrame:

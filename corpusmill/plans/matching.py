@@ -103,8 +103,8 @@ select (select count(*) from t where split > 0) held, count(*) matched, round(10
 def overlap_summary(spark, sf):
     t = table(spark, sf, "records").where("token_sha is not null").select("record_id", "source_shard", "token_sha", held().cast("int").alias("split"))
     train = t.where("split = 0").groupBy("token_sha").agg(F.count("*").alias("copies"))  # one row a content: a hot one isn't multiplied
-    held = t.where("split > 0").join(train, "token_sha", "left")
-    return held.agg(F.count("*").alias("held"), F.count("copies").alias("matched"), F.round(100.0 * F.count("copies") / F.count("*"), 6).alias("matched_percent"), F.min("copies").alias("fewest"), F.percentile("copies", 0.5).alias("median"), F.max("copies").alias("most"), F.countDistinct(F.when(F.col("copies").isNotNull(), F.col("source_shard"))).alias("shards"))
+    rows = t.where("split > 0").join(train, "token_sha", "left")
+    return rows.agg(F.count("*").alias("held"), F.count("copies").alias("matched"), F.round(100.0 * F.count("copies") / F.count("*"), 6).alias("matched_percent"), F.min("copies").alias("fewest"), F.percentile("copies", 0.5).alias("median"), F.max("copies").alias("most"), F.countDistinct(F.when(F.col("copies").isNotNull(), F.col("source_shard"))).alias("shards"))
 
 
 @query("select record_id from records where source_shard >= 'crawl-shard-030' and lower(text_sha) in (select lower(text_sha) from records where source_shard < 'crawl-shard-030')")
