@@ -64,7 +64,7 @@ def chain_statistics(df: DataFrame, id: str, text: str) -> DataFrame:
     d = d.withColumn("ws", F.filter(F.split(squeezed(F.col("t")), " "), lambda w: w != "")).withColumn("ls", F.filter(F.transform(F.split("t", "\n"), squeezed), lambda x: x != ""))
     own = F.array_distinct(F.transform("ws", F.lower))
     count = lambda c, f: F.size(F.filter(c, f))
-    seen = F.filter("ls", lambda x, i: F.array_position(F.col("ls"), x) <= i)
+    chars = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.length(x))
     return d.select(
         id,
         F.size("ws").alias("words"), F.size("ls").alias("lines"), F.length("t").alias("chars"),
@@ -74,7 +74,7 @@ def chain_statistics(df: DataFrame, id: str, text: str) -> DataFrame:
         count("ws", lambda w: w.rlike(r"\p{L}")).alias("alpha_words"), F.size(F.array_intersect(own, F.array(*map(F.lit, STOP_WORDS)))).alias("stop_words"),
         F.regexp_count("t", F.lit(r"\{")).alias("curly"), F.regexp_count("t", F.lit(r"(?i)lorem ipsum")).alias("lorem"),
         count("ls", lambda x: x.rlike(r"""[.!?"'”’]$""")).alias("ended_lines"), count("ls", lambda x: F.length(x) <= 30).alias("short_lines"),
-        F.coalesce(F.aggregate(seen, F.lit(0), lambda a, x: a + F.length(x)), F.lit(0)).alias("duplicate_chars"),
+        (chars(F.col("ls")) - chars(F.array_distinct("ls"))).alias("duplicate_chars"),
     )
 
 
