@@ -9,4 +9,4 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-from corpusmill.plans import filters, matching, metrics, splits, texts, trees  # noqa: E402, F401
+from corpusmill.plans import filters, matching, metrics, splits, streams, texts, trees  # noqa: E402, F401
