@@ -154,7 +154,7 @@ def docppl_merge(spark, sf):
 
 @query("""
 with r as (select source_shard, start_tok, end_tok, lag(end_tok) over (partition by source_shard order by start_tok, end_tok) before from records)
-select source_shard, count(*) intervals, count_if(before is not null and start_tok > before) gaps, count_if(start_tok < before) overlapping, min(start_tok) low, max(end_tok) high, count_if(before is not null and start_tok <> before) = 0 and min(start_tok) = 0 tiles from r group by 1""")
+select source_shard, count(*) intervals, count_if(before is not null and start_tok > before) gaps, count_if(before is not null and start_tok < before) overlapping, min(start_tok) low, max(end_tok) high, count_if(before is not null and start_tok <> before) = 0 and min(start_tok) = 0 tiles from r group by 1""")
 def interval_tiling(spark, sf):
     """Whether the intervals of a shard follow each other without gap or overlap."""
     w = Window.partitionBy("source_shard").orderBy("start_tok", "end_tok")
