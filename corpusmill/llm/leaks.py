@@ -82,7 +82,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     every = wanted[0]
     for w in wanted[1:]:
         every = every.unionByName(w)
-    parts = materialize(every.mapInArrow(_item_shingles(length), "item bigint, field int, q int, o int, gram bigint, window string"), "items")
+    parts = materialize(every.mapInArrow(_item_shingles(length), "item bigint, field int, q int, o int, gram bigint, window string").distinct(), "items")
     grams = parts.select("gram").distinct()
     blocks = max(1, -(-grams.count() // block))
     hits = None
