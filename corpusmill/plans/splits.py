@@ -247,3 +247,13 @@ def interval_lookup(spark, sf):
 def shard_groups(spark, sf):
     """Four consecutive shards a task."""
     return docs(spark, sf).groupBy("source", F.floor(F.split_part("source", F.lit("-"), F.lit(3)).cast("int") / 4).alias("shard_group")).agg(F.count("*").alias("n"))
+
+
+@query("with n as (select source_shard, max(end_tok) size from records group by 1), a as (select source_shard, k, size, (k * size // 8) lo, ((k + 1) * size // 8) hi from n, (select unnest(range(8)) k)) select source_shard, k::int k, lo, hi, (lo + ('0x' || sha256('anchor:' || source_shard || ':' || k)[1:7])::bigint % greatest(hi - lo, 1))::bigint anchor from a where hi > lo")
+def stratified_anchors(spark, sf):
+    """One position, by hash, in each of eight equal stretches of every shard's stream."""
+    n = table(spark, sf, "records").groupBy("source_shard").agg(F.max("end_tok").alias("size"))
+    a = n.select("source_shard", "size", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    a = a.withColumn("lo", F.expr("k * size div 8")).withColumn("hi", F.expr("(k + 1) * size div 8")).where("hi > lo")
+    h = F.conv(F.substring(P.hash_order("anchor", F.col("source_shard"), F.col("k")), 1, 7), 16, 10).cast("bigint")
+    return a.select("source_shard", "k", "lo", "hi", (F.col("lo") + h % (F.col("hi") - F.col("lo"))).alias("anchor"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
 from corpusmill.operators import dedup, streams as T
+from corpusmill.operators.rouge import lcs_f1
 from corpusmill.operators.splitting import split_sentences, split_words
 from corpusmill.plans import sql as Q
 from corpusmill.plans.registry import docs, query, table
@@ -247,3 +248,18 @@ def ngrams(spark, sf):
 @query("select event_type, date_trunc('hour', ts) as hour, count(*) n, round(sum(value), 4) total from events group by 1, 2")
 def event_hours(spark, sf):
     return table(spark, sf, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"with {_TOK}, b as (select doc_id, list_concat(ids[1:8], [50256], ids[9:]) ids from tk where len(ids) > 10) select doc_id, list_concat(list_filter(ids[1:len(ids) - 1], lambda t: t <> 50256), [50256]) cleaned, len(list_filter(ids, lambda t: t = 50256)) - 1 removed from b")
+def inner_eos(spark, sf):
+    """End marks inside a document taken out; the last stays."""
+    d = _ids(spark, sf).select("doc_id", F.concat(F.array(F.lit(T.BOS)), "ids", F.array(F.lit(T.EOS))).alias("ids")).where(F.size("ids") > 10)
+    bad = d.select("doc_id", F.concat(F.slice("ids", 1, 8), F.array(F.lit(T.EOS)), F.slice("ids", F.lit(9), F.size("ids"))).alias("ids"))
+    inner = F.filter("ids", lambda t, i: (t != T.EOS) | (i == F.size("ids") - 1))
+    return bad.select("doc_id", inner.alias("cleaned"), (F.size("ids") - F.size(inner)).cast("bigint").alias("removed"))
+
+
+@query(None)
+def rouge_l(spark, sf):
+    """Longest common subsequence of question and passage, as F1."""
+    return lcs_f1(table(spark, sf, "eval_items"), "item_id", "question", "passage")

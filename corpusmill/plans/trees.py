@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import brackets
+from corpusmill.operators import binary as B
 from corpusmill.operators import trees as T
 from corpusmill.operators.packing import greedy_chunks
 from corpusmill.plans import sql as Q
@@ -160,3 +161,37 @@ def encode_markers(spark, sf):
     v = u.where(~T.is_leaf(F.col("t"))).select("t").distinct().withColumn("id", F.row_number().over(Window.orderBy("t")).cast("bigint") + 60000)
     x = u.join(v, "t", "left").groupBy("parse_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(0)).alias("id")))).alias("x"))
     return x.select("parse_id", F.transform("x", lambda y: y["id"]).alias("ids"))
+
+
+@query(None)
+def binarize(spark, sf):
+    """Nodes of the right-branching binary tree of each forest, in post-order."""
+    return B.binarized(_lin(spark, sf), "parse_id", "tree")
+
+
+@query(None)
+def merge_order(spark, sf):
+    return B.merge_order(_lin(spark, sf), "parse_id", "tree")
+
+
+@query(None)
+def marker_shuffle(spark, sf):
+    return B.shuffled_markers(_lin(spark, sf), "parse_id", "tree")
+
+
+@query(f"with {_TY}, lf as (select parse_id, i, tok, depth, sum((step = 0)::int) over (partition by parse_id order by i)::int - 1 leaf, sum((step = 1 and depth = 1)::int) over (partition by parse_id order by i)::int - 1 sentence from ty), x as (select *, step = 0 is_leaf from ty) select lf.parse_id, lf.leaf, lf.sentence, not regexp_matches(lf.tok, '^(n[''’]t|[''’](s|re|ve|ll|d|m)|[.,!?;:])$') word_start from lf join x using (parse_id, i) where is_leaf")
+def word_starts(spark, sf):
+    """Sentence of each leaf, and whether it begins a word (clitics and marks don't)."""
+    rows = T.typed(T.events(_parses(spark, sf)))
+    w = Window.partitionBy("parse_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    leaf = F.sum(F.when(F.col("step") == 0, 1).otherwise(0)).over(w) - 1
+    sentence = F.sum(F.when((F.col("step") == 1) & (F.col("depth") == 1), 1).otherwise(0)).over(w) - 1
+    rows = rows.withColumns({"leaf": leaf, "sentence": sentence}).where("step = 0")
+    return rows.select("parse_id", "leaf", "sentence", (~F.col("tok").rlike(r"^(n['’]t|['’](s|re|ve|ll|d|m)|[.,!?;:])$")).alias("word_start"))
+
+
+@query(f"with {_TY} select parse_id, label, count(*) n, max(level)::int deepest from ty where step = 1 and not next_leaf group by 1, 2")
+def label_depths(spark, sf):
+    """Phrases of each label and their greatest depth in each forest."""
+    rows = T.typed(T.events(_parses(spark, sf))).where("step = 1 and not next_leaf")
+    return rows.groupBy("parse_id", "label").agg(F.count("*").alias("n"), F.max("level").cast("int").alias("deepest"))
