@@ -33,6 +33,15 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "rn", by: Sequence
     return running(df, order, {name: F.lit(1)}, by).withColumn(name, F.col(name).cast("bigint"))
 
 
+def with_previous(df: DataFrame, order: Sequence[str], value: str, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """df with the value of the row before in the order, within `by`; null for the first. By row
+    numbers and an equi-join on them, so that a hot group isn't one task's."""
+    n = materialize(numbered(df, order, "_rn", by), "numbered")
+    prev = n.select(*(F.col(b).alias(f"_b_{b}") for b in by), (F.col("_rn") + 1).alias("_next"), F.col(value).alias(name))
+    same = [n["_rn"] == prev["_next"], *(n[b].eqNullSafe(prev[f"_b_{b}"]) for b in by)]
+    return n.join(prev, same, "left").select(*df.columns, name)
+
+
 def top(df: DataFrame, k: int, by: Sequence[str], *order: Column) -> DataFrame:
     """The first k rows of each group in a total order. Spark cuts each task to its own first k
     before the shuffle, so a hot group costs k rows a task."""

@@ -49,3 +49,10 @@ def shuffled(df: DataFrame, id: str, seed: str, name: str = "rn") -> DataFrame:
 
 def ranks(n: Column, world: int) -> Column:
     return (n - 1) % world
+
+
+def parts(n: Column, rows: int, world: int) -> Column:
+    """The contiguous part, from 0, of row n of `rows`; the first ones take one more where world doesn't divide."""
+    q, more = divmod(rows, world)
+    k = n - 1
+    return F.when(k < more * (q + 1), F.floor(k / (q + 1))).otherwise(more + F.floor((k - more * (q + 1)) / max(q, 1))).cast("bigint")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.ordered import running, with_previous
+
 BOS, EOS = 50257, 50256
 
 
@@ -23,25 +25,31 @@ def stream(docs: DataFrame, by: str, order: str, ids: str, bos: int | None = BOS
 def offsets(docs: DataFrame, by: str, order: Sequence[str], size: Column) -> DataFrame:
     """docs with start and stop: half-open places in the stream of their group. By running totals over
     ranges of the order, so a hot group is shared by tasks."""
-    from corpusmill.operators.ordered import running
-
     return running(docs, order, {"stop": size}, [by]).withColumn("start", F.col("stop") - size)
 
 
 def segments(tokens: DataFrame, by: str, pos: str, tok: str, bos: int = BOS, eos: int = EOS) -> DataFrame:
     """(by, start, stop, valid) of each document in a stream of positioned tokens: from a bos to before
-    the next; valid if its only eos is its last token. Groups are independent streams."""
-    w = Window.partitionBy(by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = tokens.withColumn("_d", F.sum((F.col(tok) == bos).cast("int")).over(w))
-    d = numbered.groupBy(by, "_d").agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("stop"), F.count_if(F.col(tok) == eos).alias("_e"), F.max_by(tok, pos).alias("_l"))
+    the next; valid if its only eos is its last token. Groups are independent streams of any length:
+    the number of the document is a running total over ranges of places."""
+    d = running(tokens.select(by, pos, tok), [pos], {"_d": (F.col(tok) == bos).cast("int")}, [by])
+    d = d.groupBy(by, "_d").agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("stop"), F.count_if(F.col(tok) == eos).alias("_e"), F.max_by(tok, pos).alias("_l"))
     return d.select(by, "start", "stop", ((F.col("_d") > 0) & (F.col("_e") == 1) & (F.col("_l") == eos)).alias("valid"))
 
 
 def ends(tokens: DataFrame, by: str, pos: str, tok: str, eos: int = EOS) -> DataFrame:
     """(by, start, stop) of each document that an eos ends."""
-    w = Window.partitionBy(by).orderBy("stop")
     e = tokens.where(F.col(tok) == eos).select(by, (F.col(pos) + 1).alias("stop"))
-    return e.withColumn("start", F.coalesce(F.lag("stop").over(w), F.lit(0)))
+    return with_previous(e, ["stop"], "stop", "start", [by]).withColumn("start", F.coalesce("start", F.lit(0)))
+
+
+def chunk_lengths(bounds: DataFrame, by: str, start: str, stop: str, size: int) -> DataFrame:
+    """(by, chunk, lengths): how a stream's chunks of `size` tokens are made up of documents, in order.
+    bounds: half-open places. A chunk has at most `size` pieces."""
+    pieces = bounds.where(F.col(stop) > F.col(start)).select(by, start, stop, F.explode(F.sequence(F.floor(F.col(start) / size), F.floor((F.col(stop) - 1) / size))).alias("chunk"))
+    low, high = F.greatest(start, F.col("chunk") * size), F.least(stop, (F.col("chunk") + 1) * size)
+    cut = pieces.select(by, "chunk", F.struct(low.alias("at"), (high - low).alias("n")).alias("x"))
+    return cut.groupBy(by, "chunk").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["n"]).alias("lengths"))
 
 
 def chunks(items: Column, size: int) -> Column:

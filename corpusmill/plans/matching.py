@@ -181,9 +181,9 @@ def template_grams(spark, sf):
 
 
 def templates(w: DataFrame, floor: int) -> DataFrame:
-    n = w.agg(F.count("*").alias("n"))
+    least = max(floor, -(-w.count() // 100))
     df = S.gram_rows(w, "id", "words", 13).select("id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(n)).where(F.col("df") >= F.greatest(F.lit(floor), F.ceil(F.col("n") / 100))).select("gram", "df")  # n is one row
+    return df.where(F.col("df") >= least)
 
 
 @query(f"""with {Q.DOCS}, {Q.grams(13)}, t as (select gram from g group by 1 having count(distinct doc_id) >= greatest(5, ceil((select count(*) from docs) / 100))), r as (select * from g where {RES} and gram not in (select gram from t)), q as (select gram from g where not {RES}), {_COVER}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import grams, tokens
 from corpusmill.operators import metrics as M
+from corpusmill.operators import ordered
 from corpusmill.plans import sql as Q
 from corpusmill.plans.registry import docs, query, table
 
@@ -147,9 +148,9 @@ def docppl_merge(spark, sf):
     n = table(spark, sf, "doc_results").groupBy("run_name", "document_id").agg(F.count("*").alias("n"))
     known = docs(spark, sf).select(F.col("doc_id").alias("document_id")).distinct().withColumn("known", F.lit(1))
     per_doc = n.select("document_id").distinct().join(known, "document_id", "left")
-    whole = per_doc.agg(F.count("*").alias("expected"), F.count_if(F.col("known").isNull()).alias("unknown"))
+    expected, unknown = per_doc.agg(F.count("*"), F.count_if(F.col("known").isNull())).first()
     own = n.groupBy("run_name").agg(F.count("*").alias("present"), F.count_if(F.col("n") > 1).alias("delivered_again"))
-    return own.crossJoin(F.broadcast(whole)).select("run_name", "expected", "present", (F.col("expected") - F.col("present")).alias("missing"), "delivered_again", "unknown")  # whole is one row
+    return own.select("run_name", F.lit(expected).cast("bigint").alias("expected"), "present", (F.lit(expected).cast("bigint") - F.col("present")).alias("missing"), "delivered_again", F.lit(unknown).cast("bigint").alias("unknown"))
 
 
 @query("""
@@ -157,8 +158,7 @@ with r as (select source_shard, start_tok, end_tok, lag(end_tok) over (partition
 select source_shard, count(*) intervals, count_if(before is not null and start_tok > before) gaps, count_if(before is not null and start_tok < before) overlapping, min(start_tok) low, max(end_tok) high, count_if(before is not null and start_tok <> before) = 0 and min(start_tok) = 0 tiles from r group by 1""")
 def interval_tiling(spark, sf):
     """Whether the intervals of a shard follow each other without gap or overlap."""
-    w = Window.partitionBy("source_shard").orderBy("start_tok", "end_tok")
-    r = table(spark, sf, "records").select("source_shard", "start_tok", "end_tok", F.lag("end_tok").over(w).alias("before"))
+    r = ordered.with_previous(table(spark, sf, "records").select("source_shard", "start_tok", "end_tok"), ["start_tok", "end_tok"], "end_tok", "before", ["source_shard"])
     return r.groupBy("source_shard").agg(
         F.count("*").alias("intervals"), F.count_if(F.col("start_tok") > F.col("before")).alias("gaps"), F.count_if(F.col("start_tok") < F.col("before")).alias("overlapping"), F.min("start_tok").alias("low"), F.max("end_tok").alias("high"),
         ((F.count_if(F.col("start_tok") != F.col("before")) == 0) & (F.min("start_tok") == 0)).alias("tiles"),

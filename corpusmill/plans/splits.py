@@ -87,8 +87,7 @@ def stratified_split(spark, sf):
     s = s.withColumn("want_dev", F.when(n >= 6000, 1000).otherwise(F.bround(n / 6)).cast("bigint")).withColumn("want_test", F.when(n >= 6000, 5000).otherwise(n - F.bround(n / 6)).cast("bigint"))
     s = P.allocated(s, "stratum", "n", F.col("want_dev")).withColumnRenamed("share", "dev").withColumn("rest", F.col("n") - F.col("dev"))
     s = P.allocated(s, "stratum", "rest", F.col("want_test")).withColumnRenamed("share", "test")
-    w = Window.partitionBy("stratum").orderBy("h", "source_row")
-    o = one.withColumn("h", P.hash_order("split", F.col("source_shard"), F.col("source_row"))).withColumn("rn", F.row_number().over(w))
+    o = ordered.numbered(one.withColumn("h", P.hash_order("split", F.col("source_shard"), F.col("source_row"))), ["h", "source_row"], by=["stratum"])
     which = F.when(F.col("rn") <= F.col("dev"), "dev").when(F.col("rn") <= F.col("dev") + F.col("test"), "test").otherwise("reserve")
     return o.join(s.select("stratum", "dev", "test"), "stratum").select("source_shard", "source_row", "stratum", which.alias("split"))
 
@@ -111,8 +110,8 @@ def hash_sample(spark, sf):
 def epoch_order(spark, sf):
     """A shuffled epoch over 8 ranks, cut to a multiple of them."""
     d = docs(spark, sf).select("doc_id")
-    n = d.agg((F.floor(F.count("*") / 8) * 8).alias("n"))
-    return P.shuffled(d, "doc_id", "7").crossJoin(F.broadcast(n)).where("rn <= n").select("doc_id", "rn", P.ranks(F.col("rn"), 8).alias("rank_id"), F.floor((F.col("rn") - 1) / 8).alias("step"))  # n is one row
+    whole = d.count() // 8 * 8
+    return P.shuffled(d, "doc_id", "7").where(F.col("rn") <= whole).select("doc_id", "rn", P.ranks(F.col("rn"), 8).alias("rank_id"), F.floor((F.col("rn") - 1) / 8).alias("step"))
 
 
 @query("with o as (select source, row_number() over (order by sha256('7:' || doc_id), doc_id) rn from documents) select source, count(*) examples, min(rn) first_at from o where rn <= 200 group by 1")
@@ -127,11 +126,7 @@ def rank_partition(spark, sf):
     """Whole groups in contiguous parts; the first ones take one more where 8 doesn't divide."""
     g = table(spark, sf, "split_items").where("group_id is not null").groupBy("group_id").agg(F.count("*").alias("n"))
     r = ordered.numbered(g, ["group_id"])
-    m = g.agg(F.count("*").alias("m"))
-    q, x = F.floor(F.col("m") / 8), F.col("m") % 8
-    k = F.col("rn") - 1
-    part = F.when(k < x * (q + 1), F.floor(k / (q + 1))).otherwise(x + F.floor((k - x * (q + 1)) / F.greatest(q, F.lit(1))))
-    return r.crossJoin(F.broadcast(m)).select("group_id", "n", part.cast("bigint").alias("part"))  # m is one row
+    return r.select("group_id", "n", P.parts(F.col("rn"), g.count(), 8).alias("part"))
 
 
 @query("with r as (select source, source_row, row_number() over (order by source, source_row) - 1 pos from documents where source < 'crawl-shard-030') select source, source_row, pos from r")
@@ -171,8 +166,8 @@ def apply_selection(spark, sf):
 @query("with s as (select distinct source_shard, source_row from split_items), g as (select *, source_row - row_number() over (partition by source_shard order by source_row) island from s) select source_shard, min(source_row) first_row, max(source_row) last_row, count(*) n from g group by source_shard, island")
 def islands(spark, sf):
     """Runs of adjacent listed rows in a shard."""
-    w = Window.partitionBy("source_shard").orderBy("source_row")
-    s = table(spark, sf, "split_items").select("source_shard", "source_row").distinct().withColumn("island", F.col("source_row") - F.row_number().over(w))
+    s = ordered.numbered(table(spark, sf, "split_items").select("source_shard", "source_row").distinct(), ["source_row"], by=["source_shard"])
+    s = s.withColumn("island", F.col("source_row") - F.col("rn"))
     return s.groupBy("source_shard", "island").agg(F.min("source_row").alias("first_row"), F.max("source_row").alias("last_row"), F.count("*").alias("n")).drop("island")
 
 
@@ -238,8 +233,8 @@ def anchor_lookup(spark, sf):
 def interval_lookup(spark, sf):
     """Which interval each grid position of a shard falls into."""
     r = table(spark, sf, "records")
-    top = r.agg((F.max("ordinal") * 50).cast("bigint").alias("top"))
-    x = r.select("source_shard").distinct().crossJoin(F.broadcast(top)).where("top > 0").select("source_shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top") - 1, F.lit(500).cast("bigint"))).alias("pos"))  # top is one row
+    top = (r.agg(F.max("ordinal")).first()[0] or 0) * 50
+    x = r.select("source_shard").distinct().where(F.lit(top) > 0).select("source_shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(top - 1, 0)).cast("bigint"), F.lit(500).cast("bigint"))).alias("pos"))
     return interval_join(x, r.select("source_shard", "start_tok", "end_tok"), ["source_shard"], "pos", "start_tok", "end_tok").select("source_shard", "pos", "start_tok")
 
 

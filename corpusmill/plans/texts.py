@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
-from corpusmill.operators import dedup, streams as T
+from corpusmill.operators import streams as T
 from corpusmill.operators.rouge import lcs_f1
 from corpusmill.operators.splitting import split_sentences, split_words
 from corpusmill.plans import sql as Q
@@ -167,20 +166,19 @@ def fixed_chunks(spark, sf):
     return d.select("doc_id", T.chunks(F.col("ids"), 64).alias("chunks"), (F.size("ids") % 64).cast("bigint").alias("dropped"))
 
 
-@query(f"with {_TOK}, l as (select source, list(len(ids) order by source_row, doc_id) lengths from tk where source_row < 8 group by 1) select * from l")
+@query(f"with {_OFF}, b as (select source, stop - len(ids) as start, stop from o), c as (select source, start, stop, unnest(range(start // 1024, (stop - 1) // 1024 + 1)) chunk from b) select source, chunk, list(least(stop, (chunk + 1) * 1024) - greatest(start, chunk * 1024) order by start) lengths from c group by 1, 2")
 def doc_lens(spark, sf):
-    """Lengths of the documents in the chunk of each shard's first eight rows."""
-    d = _ids(spark, sf).where("source_row < 8").select("source", F.struct("source_row", "doc_id", F.concat(F.array(F.lit(T.BOS)), "ids", F.array(F.lit(T.EOS))).alias("ids")).alias("x"))
-    flat = d.groupBy("source").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["ids"])).alias("ids"))
-    return flat.select("source", F.transform(X.let(F.col("ids"), lambda ids: T.document_lengths(ids)), lambda n: n.cast("bigint")).alias("lengths"))
+    """Lengths of the documents, or parts of them, in each chunk of 1,024 tokens of a shard's stream."""
+    o = T.offsets(_ids(spark, sf), "source", ["source_row", "doc_id"], F.size("ids") + 2)
+    return T.chunk_lengths(o, "source", "start", "stop", 1024)
 
 
-@query(f"with {_TOK}, w as (select doc_id, ids, max(len(ids)) over (partition by source) width from tk where len(ids) <= 256) select doc_id, list_concat(ids, list_transform(range(width - len(ids)), lambda i: 0)) padded, list_concat(list_transform(range(len(ids)), lambda i: 1), list_transform(range(width - len(ids)), lambda i: 0)) mask from w")
+@query(f"with {_TOK}, w as (select doc_id, ids, max(len(ids)) over (partition by source, source_row // 8) width from tk) select doc_id, list_concat(ids, list_transform(range(width - len(ids)), lambda i: 0)) padded, list_concat(list_transform(range(len(ids)), lambda i: 1), list_transform(range(width - len(ids)), lambda i: 0)) mask from w")
 def pad_batch(spark, sf):
-    """Short documents padded to the width of their shard's batch, with the mask."""
-    d = _ids(spark, sf).select("doc_id", "source", F.concat(F.array(F.lit(T.BOS)), "ids", F.array(F.lit(T.EOS))).alias("ids")).where(F.size("ids") <= 256)
-    width = d.groupBy("source").agg(F.max(F.size("ids")).alias("width"))
-    d = d.join(width, "source")
+    """Documents padded to the width of their batch (eight rows of a shard), with the mask."""
+    d = _ids(spark, sf).select("doc_id", "source", F.floor(F.col("source_row") / 8).alias("batch"), F.concat(F.array(F.lit(T.BOS)), "ids", F.array(F.lit(T.EOS))).alias("ids"))
+    width = d.groupBy("source", "batch").agg(F.max(F.size("ids")).alias("width"))
+    d = d.join(width, ["source", "batch"])
     return d.select("doc_id", T.padded(F.col("ids"), F.col("width"), 0).alias("padded"), T.padded(F.transform("ids", lambda t: F.lit(1)), F.col("width"), 0).alias("mask"))
 
 
@@ -250,11 +248,10 @@ def event_hours(spark, sf):
     return table(spark, sf, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query(f"with {_TOK}, b as (select doc_id, list_concat(ids[1:8], [50256], ids[9:]) ids from tk where len(ids) > 10) select doc_id, list_concat(list_filter(ids[1:len(ids) - 1], lambda t: t <> 50256), [50256]) cleaned, len(list_filter(ids, lambda t: t = 50256)) - 1 removed from b")
+@query(f"with {_TOK}, b as (select doc_id, list_concat([ids[1], 50256], ids[2:]) ids from tk) select doc_id, list_concat(list_filter(ids[1:len(ids) - 1], lambda t: t <> 50256), [50256]) cleaned, len(list_filter(ids, lambda t: t = 50256)) - 1 removed from b")
 def inner_eos(spark, sf):
-    """End marks inside a document taken out; the last stays."""
-    d = _ids(spark, sf).select("doc_id", F.concat(F.array(F.lit(T.BOS)), "ids", F.array(F.lit(T.EOS))).alias("ids")).where(F.size("ids") > 10)
-    bad = d.select("doc_id", F.concat(F.slice("ids", 1, 8), F.array(F.lit(T.EOS)), F.slice("ids", F.lit(9), F.size("ids"))).alias("ids"))
+    """End marks inside a document (one is put in here) taken out; the last stays."""
+    bad = _ids(spark, sf).select("doc_id", F.concat(F.array(F.lit(T.BOS), F.lit(T.EOS)), "ids", F.array(F.lit(T.EOS))).alias("ids"))
     inner = F.filter("ids", lambda t, i: (t != T.EOS) | (i == F.size("ids") - 1))
     return bad.select("doc_id", inner.alias("cleaned"), (F.size("ids") - F.size(inner)).cast("bigint").alias("removed"))
 

@@ -293,3 +293,12 @@ def test_body_profile(spark):
     df = spark.createDataFrame([("Don't  -LRB-STOP-RRB-\nΣΑΣ",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(X.body(F.col("t"))).collect()] == ["don ' t ( stop ) σασ", None, ""]
     assert df.select(X.content_key(F.col("t"))).collect()[1][0] is None
+
+
+def test_previous_parts_and_chunks(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), (None, 2), ("a", 7), (None, 9)], "g string, x int")
+    assert rows(ordered.with_previous(df, ["x"], "x", "p", ["g"])) == sorted([("a", 1, None), ("a", 3, 1), ("a", 7, 3), (None, 2, None), (None, 9, 2)], key=str)
+    n = spark.range(1, 12).select("id", splits.parts(F.col("id"), 11, 4).alias("p"))
+    assert [r.p for r in n.orderBy("id").collect()] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3]
+    b = spark.createDataFrame([("s", 0, 5), ("s", 5, 5), ("s", 5, 23), ("t", 0, 3)], "g string, a long, b long")
+    assert rows(streams.chunk_lengths(b, "g", "a", "b", 10)) == [("s", 0, [5, 5]), ("s", 1, [10]), ("s", 2, [3]), ("t", 0, [3])]
