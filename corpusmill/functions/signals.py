@@ -34,3 +34,5 @@ FORMULAS: dict[str, str] = {
     "calculus_glyph": r"[∑∏∫]\s*[a-zΑ-Ωα-ω0-9(_^\\]",
 }
 EQUATION = r"[A-Za-zΑ-Ωα-ω0-9)]\s*[+*/^×÷]\s*[A-Za-zΑ-Ωα-ω0-9(]{1,8}[^\n=]{0,40}=\s*[-+(]?[A-Za-zΑ-Ωα-ω0-9]"
+URL = r"(?i)https?://[^\s]+"
+MATH_WORDS = r"(?i)\b(?:equations?|formulas?|formulae|algebra|calculus|polynomial|theorem|derivative|integral|numerator|denominator|coefficients?|quadratic|logarithm|exponent|matrix|matrices|vectors?)\b"

@@ -32,11 +32,11 @@ def line_counts(df: DataFrame, id: str, text: str, squeeze: bool) -> DataFrame:
 def formula_decision(text: Column) -> Column:
     """drop if a formula is plain to see, review if an equation is likely, else keep. Math words
     nearby make an equation plain; URLs and code don't count."""
-    shown = F.regexp_replace(text, r"(?i)https?://\S+", " ")
+    shown = F.regexp_replace(text, S.URL, " ")
     confirmed = F.size(reasons(shown, S.FORMULAS)) > 0
     equation = shown.rlike(S.EQUATION)
     code = shown.rlike(S.SIGNALS["code_syntax_candidate"])
-    words = shown.rlike(r"(?i)\b(?:equations?|formulas?|formulae|algebra|calculus|polynomial|theorem|derivative|integral|numerator|denominator|coefficients?|quadratic|logarithm|exponent|matrix|matrices|vectors?)\b")
+    words = shown.rlike(S.MATH_WORDS)
     return F.when(confirmed | (equation & words & ~code), "drop").when(equation, "review").otherwise("keep")
 
 

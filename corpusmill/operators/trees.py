@@ -107,3 +107,20 @@ def spans(parses: DataFrame, id: str = "parse_id", parsed: str = "parsed") -> Da
     o = rows.where("step = 1 and not next_leaf").select(id, F.col("i").alias("open_at"), F.col("leaves").alias("l"), "label")
     c = rows.where("step = -1 and not prev_leaf").select(id, "open_at", (F.col("leaves") - 1).alias("r"))
     return o.join(c, [id, "open_at"]).where("r >= l").select(id, "label", "l", "r")
+
+
+def typed_balance(df: DataFrame, id: str = "parse_id", tree: str = "tree") -> DataFrame:
+    """(id, markers, roots, valid) of typed marker arrays: valid if openings and closings pair up and
+    each pair has one label, so crossed brackets are found. At one level openings and closings
+    alternate: the pairs are the first and second, the third and fourth marker there. Arrays without
+    markers are valid; null arrays and null ids are left out."""
+    m = df.where(F.col(id).isNotNull()).select(id, F.posexplode(tree).alias("i", "t")).where(~is_leaf(F.col("t")))
+    m = m.select(id, "i", F.when(is_open(F.col("t")), 1).otherwise(-1).alias("step"), F.regexp_extract("t", r"^<\(?(.*?)\)?>$", 1).alias("label"))
+    w = Window.partitionBy(id).orderBy("i")
+    m = m.withColumn("depth", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    m = m.withColumn("level", F.when(F.col("step") == -1, F.col("depth") + 1).otherwise(F.col("depth")))
+    m = m.withColumn("before", F.lag("label").over(Window.partitionBy(id, "level").orderBy("i")))
+    wrong = (F.col("depth") < 0) | ((F.col("step") == -1) & ~F.coalesce(F.col("before") == F.col("label"), F.lit(False)))
+    told = m.groupBy(id).agg(F.count("*").alias("markers"), F.count_if((F.col("step") == 1) & (F.col("depth") == 1)).alias("roots"), (F.count_if(wrong) + F.abs(F.sum("step"))).alias("_bad"))
+    known = df.where(F.col(id).isNotNull() & F.col(tree).isNotNull()).select(id).distinct()
+    return known.join(told, id, "left").select(id, F.coalesce("markers", F.lit(0)).alias("markers"), F.coalesce("roots", F.lit(0)).alias("roots"), (F.coalesce("_bad", F.lit(0)) == 0).alias("valid"))

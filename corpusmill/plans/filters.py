@@ -77,12 +77,16 @@ def formula_latex(spark, sf):
     return docs(spark, sf).select("doc_id", L.reasons(F.col("text"), S.FORMULAS).alias("kinds")).where(F.size("kinds") > 0)
 
 
-@query(None)
+_SHOWN = f"x as (select doc_id, lang, text, regexp_replace(text, {_lit(S.URL)}, ' ', 'g') shown from documents where text is not null)"
+_DECIDED = f"{_SHOWN}, fd as (select doc_id, lang, text, case when len({_reasons('shown', S.FORMULAS)}) > 0 or (regexp_matches(shown, {_lit(S.EQUATION)}) and regexp_matches(shown, {_lit(S.MATH_WORDS)}) and not regexp_matches(shown, {_lit(S.SIGNALS['code_syntax_candidate'])})) then 'drop' when regexp_matches(shown, {_lit(S.EQUATION)}) then 'review' else 'keep' end decision from x)"
+
+
+@query(f"with {_DECIDED} select doc_id, decision from fd")
 def formula_class(spark, sf):
     return docs(spark, sf).where("text is not null").select("doc_id", L.formula_decision(F.col("text")).alias("decision"))
 
 
-@query(None)
+@query(f"with {_DECIDED} select decision, lang, count(*) documents, sum(len({Q.tokens('text')}))::bigint tokens from fd group by 1, 2")
 def decision_stats(spark, sf):
     """Documents and tokens by formula decision and language."""
     d = docs(spark, sf).where("text is not null").select("lang", F.size(X.tokens(F.col("text"))).alias("n"), L.formula_decision(F.col("text")).alias("decision"))

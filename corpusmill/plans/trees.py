@@ -195,3 +195,9 @@ def label_depths(spark, sf):
     """Phrases of each label and their greatest depth in each forest."""
     rows = T.typed(T.events(_parses(spark, sf))).where("step = 1 and not next_leaf")
     return rows.groupBy("parse_id", "label").agg(F.count("*").alias("n"), F.max("level").cast("int").alias("deepest"))
+
+
+@query(f"with {_LIN} select parse_id, len(list_filter(tree, lambda t: {_O} or {_C})) markers, (select count(*) from ty where ty.parse_id = lin.parse_id and step = 1 and depth = 1 and not next_leaf) roots, true valid from lin")
+def typed_balance(spark, sf):
+    """Pairs and labels of the markers of each linearized forest."""
+    return T.typed_balance(_lin(spark, sf))

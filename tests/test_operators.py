@@ -302,3 +302,9 @@ def test_previous_parts_and_chunks(spark):
     assert [r.p for r in n.orderBy("id").collect()] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3]
     b = spark.createDataFrame([("s", 0, 5), ("s", 5, 5), ("s", 5, 23), ("t", 0, 3)], "g string, a long, b long")
     assert rows(streams.chunk_lengths(b, "g", "a", "b", 10)) == [("s", 0, [5, 5]), ("s", 1, [10]), ("s", 2, [3]), ("t", 0, [3])]
+
+
+def test_typed_balance_finds_crossed_labels(spark):
+    data = [(1, ["<(A>", "x", "<(B>", "y", "<B)>", "<A)>"]), (2, ["<(A>", "<(B>", "x", "<A)>", "<B)>"]), (3, ["<(A>", "x"]), (4, ["x"]), (5, []), (6, None), (7, ["<A)>", "<(A>"]), (None, ["x"]), (8, ["<(A>", "x", "<A)>", "<(A>", "y", "<A)>"])]
+    got = {r.parse_id: (r.roots, r.valid) for r in trees.typed_balance(spark.createDataFrame(data, "parse_id int, tree array<string>")).collect()}
+    assert got == {1: (1, True), 2: (1, False), 3: (1, False), 4: (0, True), 5: (0, True), 7: (0, False), 8: (2, True)}
