@@ -171,9 +171,10 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", thresho
     group; extra columns are ignored; an empty table gives no rows. Equal texts are collapsed
     first and are only brought back at the end, so that copies cost one row each.
 
-    All candidates are treated: first each document's best one, which connects most groups, then
-    all candidates that lie between different groups, then the members of any posting list that
-    still holds several groups.
+    All candidates are treated: first each document's best one by shared postings, which connects
+    most groups, then all candidates that lie between different groups, then the members of any
+    posting list that still holds several groups. So a family of edits of any size costs its
+    sketches and texts about once, and not once for each of its pairs.
     """
     docs = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
     base = materialize(docs.mapInArrow(_sketched(min_words), "id bigint, h1 bigint, h2 bigint, n int, sig array<int>"), "sketches")
@@ -181,15 +182,15 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", thresho
     copies = materialize(base.select("id", "h1", "h2").join(firsts.where("copies > 1").select("h1", "h2", "first"), ["h1", "h2"]).where("id <> first").select("id", "first"), "copies")
     reps = base.join(copies.select("id"), "id", "left_anti").select("id", "n", "sig")
     neighbours = materialize(_candidates(reps), "neighbours")
-    pairs = materialize(_tallied(neighbours.select("a", "b").distinct(), reps, threshold), "pairs")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("tally", -F.col("a"))).alias("a"))
-    links = materialize(_verified(best.select("a", "b"), docs, threshold), "links")
-    labels = materialize(connected_components(links), "labels")
-    for stage in (lambda: pairs, lambda: _tallied(_between(neighbours, labels), reps, threshold)):
-        more = materialize(_across(stage(), labels), "rest")
-        if more.isEmpty():
+    pairs = materialize(neighbours.groupBy("a", "b").agg(F.count("*").alias("postings")), "pairs")
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("postings", -F.col("a"))).alias("a")).select("a", "b")
+    links, labels = None, None
+    for stage in (lambda: best, lambda: _across(pairs, labels), lambda: _between(neighbours, labels)):
+        kept = materialize(_tallied(stage(), reps, threshold), "kept")
+        if links is not None and kept.isEmpty():
             continue
-        links = links.unionByName(materialize(_verified(more, docs, threshold), "links"))
+        near = materialize(_verified(kept, docs, threshold), "links")
+        links = near if links is None else links.unionByName(near)
         labels = materialize(connected_components(links), "labels")
     of = labels.select(F.col("node").alias("first"), "component")
     return (
