@@ -51,7 +51,7 @@ def dup_groups(spark, sf):
 @query(f"""
 with p as (select source, {Q.content_key('text')} k, unnest(case when {RES} then ['all', 'reserved'] else ['all', 'historical'] end) profile from documents where text is not null),
 c as (select profile, k, count(*) n, count(distinct source) shards from p group by 1, 2)
-select profile, sum(n)::bigint documents, count(*) unique_contents, sum(n - 1)::bigint extra_copies, count_if(n = 1) singletons, count_if(shards > 1) cross_shard, max(n) most_copies from c group by 1""")
+select profile, sum(n)::bigint documents, count(*) unique_contents, sum(n - 1)::bigint extra_copies, count_if(n = 1)::bigint singletons, count_if(shards > 1)::bigint cross_shard, max(n) most_copies from c group by 1""")
 def dup_census(spark, sf):
     keyed = docs(spark, sf).where("text is not null").select("source", X.content_key(F.col("text")).alias("k"))
     return dedup.census(keyed, "k", "source", {"all": F.lit(True), "reserved": reserved(), "historical": ~reserved()})
@@ -68,8 +68,8 @@ def shard_copies(spark, sf):
 
 
 @query("""
-with k as (select token_sha, count_if(source_shard < 'crawl-shard-030') train, count_if(source_shard >= 'crawl-shard-030') held from records where token_sha is not null group by 1)
-select sum(train)::bigint train_rows, sum(held)::bigint held_rows, count_if(train > 0 and held > 0) shared_contents, coalesce(sum(case when held > 0 then train end), 0)::bigint train_rows_shared, coalesce(sum(case when train > 0 then held end), 0)::bigint held_rows_shared from k""")
+with k as (select token_sha, count_if(source_shard < 'crawl-shard-030')::bigint train, count_if(source_shard >= 'crawl-shard-030')::bigint held from records where token_sha is not null group by 1)
+select sum(train)::bigint train_rows, sum(held)::bigint held_rows, count_if(train > 0 and held > 0)::bigint shared_contents, coalesce(sum(case when held > 0 then train end), 0)::bigint train_rows_shared, coalesce(sum(case when train > 0 then held end), 0)::bigint held_rows_shared from k""")
 def overlap_counts(spark, sf):
     k = table(spark, sf, "records").where("token_sha is not null").groupBy("token_sha").agg(F.count_if(~held()).alias("train"), F.count_if(held()).alias("held"))
     return k.agg(
@@ -204,7 +204,7 @@ def nearest_ref(spark, sf):
 
 
 @query(f"""with {_SETS}, {_PAIRS.format(where=f'x.{RES} and not y.{RES}')}, o as (select a, max(shared / (ma + mb - shared)) j from p where shared / least(ma, mb) >= 0.5 group by 1)
-select count_if(j >= 0.8) near_80, count_if(j >= 0.7) near_70, count_if(j >= 0.6) near_60, max(j) max_jaccard, count(*) with_match from o""")
+select count_if(j >= 0.8)::bigint near_80, count_if(j >= 0.7)::bigint near_70, count_if(j >= 0.6)::bigint near_60, max(j) max_jaccard, count(*) with_match from o""")
 def threshold_table(spark, sf):
     n = nearest_ref(spark, sf)
     return n.agg(*(F.count_if(F.col("max_jaccard") >= t / 100).alias(f"near_{t}") for t in (80, 70, 60)), F.max("max_jaccard").alias("max_jaccard"), F.count("*").alias("with_match"))
@@ -263,7 +263,7 @@ def holdout(spark, sf):
 
 @query("""
 with f as (select token_sha, arg_min(source_shard, record_id) first_shard, min(record_id) first_id from records where token_sha is not null group by 1)
-select source_shard, count(*) matches, count_if(source_shard = first_shard) same_shard, count_if(source_shard <> first_shard) cross_shard from records join f using (token_sha) where record_id > first_id group by 1""")
+select source_shard, count(*) matches, count_if(source_shard = first_shard)::bigint same_shard, count_if(source_shard <> first_shard)::bigint cross_shard from records join f using (token_sha) where record_id > first_id group by 1""")
 def cross_shard(spark, sf):
     """Later copies by whether the first copy is of the same shard."""
     r = table(spark, sf, "records").where("token_sha is not null").select("token_sha", "record_id", "source_shard")

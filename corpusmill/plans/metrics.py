@@ -51,7 +51,7 @@ def score_norms(spark, sf):
 
 @query(f"""with {_S}, {_LABEL}, {_best('full_score_raw', 'f')}, {_best('term_score_raw', 't')},
 g as (select run_name, task, round(sum(nt_score_raw) / nullif(sum(n_nonterminal), 0) - sum(term_score_raw) / nullif(sum(n_terminal), 0), 9) gap from s where nt_score_raw is not null and term_score_raw is not null group by 1, 2)
-select run_name, task, count(*) cases, count_if(f.pred <> t.pred) flips, count_if(f.pred <> t.pred and f.pred = label) to_correct, count_if(f.pred <> t.pred and t.pred = label) to_wrong, any_value(gap) gap from f join t using (run_name, task, doc_id) join lb using (run_name, task, doc_id) join g using (run_name, task) group by 1, 2""")
+select run_name, task, count(*) cases, count_if(f.pred <> t.pred)::bigint flips, count_if(f.pred <> t.pred and f.pred = label)::bigint to_correct, count_if(f.pred <> t.pred and t.pred = label)::bigint to_wrong, any_value(gap) gap from f join t using (run_name, task, doc_id) join lb using (run_name, task, doc_id) join g using (run_name, task) group by 1, 2""")
 def flip_stats(spark, sf):
     """Answers that differ between the full and the terminal-only score, and the gap of scores a token."""
     s = _scores(spark, sf)
@@ -129,7 +129,7 @@ def _results(spark, sf):
     return M.first_delivery(table(spark, sf, "doc_results"), ["run_name", "document_id"], "written_at", "log_likelihood")
 
 
-@query(f"with {_D} select run_name, count(*) documents, sum(sentence_count)::bigint sentences, sum(terminal_count)::bigint terminals, count_if(log_likelihood is null or isnan(log_likelihood)) without_score, round(exp(-sum(case when not isnan(log_likelihood) then log_likelihood end) / sum(case when log_likelihood is not null and not isnan(log_likelihood) then terminal_count end)), 6) ppl, round(sum(model_candidate_forwards) / sum(candidate_slots), 9) forward_ratio from d group by 1")
+@query(f"with {_D} select run_name, count(*) documents, sum(sentence_count)::bigint sentences, sum(terminal_count)::bigint terminals, count_if(log_likelihood is null or isnan(log_likelihood))::bigint without_score, round(exp(-sum(case when not isnan(log_likelihood) then log_likelihood end) / sum(case when log_likelihood is not null and not isnan(log_likelihood) then terminal_count end)), 6) ppl, round(sum(model_candidate_forwards) / sum(candidate_slots), 9) forward_ratio from d group by 1")
 def result_merge(spark, sf):
     """Results of documents merged by run: each document once, sums, perplexity, ratios."""
     ok = F.col("log_likelihood").isNotNull() & ~F.isnan("log_likelihood")
@@ -142,7 +142,7 @@ def result_merge(spark, sf):
 
 @query("""
 with u as (select distinct document_id from doc_results), r as (select distinct run_name from doc_results), n as (select run_name, document_id, count(*) n from doc_results group by 1, 2)
-select r.run_name, count(*) expected, count(n) present, count(*) - count(n) missing, count_if(n > 1) delivered_again, count_if(d.doc_id is null) unknown from r cross join u left join n using (run_name, document_id) left join documents d on d.doc_id = u.document_id group by 1""")
+select r.run_name, count(*) expected, count(n) present, count(*) - count(n) missing, count_if(n > 1)::bigint delivered_again, count_if(d.doc_id is null)::bigint unknown from r cross join u left join n using (run_name, document_id) left join documents d on d.doc_id = u.document_id group by 1""")
 def docppl_merge(spark, sf):
     """Cover of each run: documents that some run has, missing here, delivered more than once, unknown to the corpus."""
     n = table(spark, sf, "doc_results").groupBy("run_name", "document_id").agg(F.count("*").alias("n"))
@@ -155,7 +155,7 @@ def docppl_merge(spark, sf):
 
 @query("""
 with r as (select source_shard, start_tok, end_tok, lag(end_tok) over (partition by source_shard order by start_tok, end_tok) before from records)
-select source_shard, count(*) intervals, count_if(before is not null and start_tok > before) gaps, count_if(before is not null and start_tok < before) overlapping, min(start_tok) low, max(end_tok) high, count_if(before is not null and start_tok <> before) = 0 and min(start_tok) = 0 tiles from r group by 1""")
+select source_shard, count(*) intervals, count_if(before is not null and start_tok > before)::bigint gaps, count_if(before is not null and start_tok < before)::bigint overlapping, min(start_tok) low, max(end_tok) high, count_if(before is not null and start_tok <> before)::bigint = 0 and min(start_tok) = 0 tiles from r group by 1""")
 def interval_tiling(spark, sf):
     """Whether the intervals of a shard follow each other without gap or overlap."""
     r = ordered.with_previous(table(spark, sf, "records").select("source_shard", "start_tok", "end_tok"), ["start_tok", "end_tok"], "end_tok", "before", ["source_shard"])

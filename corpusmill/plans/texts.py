@@ -58,7 +58,7 @@ def brackets_native(spark, sf):
     return docs(spark, sf).where(F.contains("text", F.lit("B-"))).select("doc_id", X.brackets(F.col("text")).alias("text"))
 
 
-@query("select escape, sum(len(regexp_extract_all(text, escape)))::bigint n, count_if(contains(text, escape)) documents from documents, (values ('-LRB-'), ('-RRB-'), ('-LCB-'), ('-RCB-'), ('-LSB-'), ('-RSB-')) v(escape) where text is not null group by 1")
+@query("select escape, sum(len(regexp_extract_all(text, escape)))::bigint n, count_if(contains(text, escape))::bigint documents from documents, (values ('-LRB-'), ('-RRB-'), ('-LCB-'), ('-RCB-'), ('-LSB-'), ('-RSB-')) v(escape) where text is not null group by 1")
 def bracket_counts(spark, sf):
     counts = F.explode(F.array(*(F.struct(F.lit(e).alias("escape"), F.regexp_count("text", F.lit(e)).alias("n")) for e in X.BRACKETS))).alias("x")
     return _texts(spark, sf).select(counts).select("x.*").groupBy("escape").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("documents"))

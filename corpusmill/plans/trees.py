@@ -16,7 +16,7 @@ _EV = r"""p as (select parse_id, min(parsed) parsed from parses where parsed is
 t as (select parse_id, unnest(toks) tok, unnest(range(len(toks))) i from (select parse_id, regexp_extract_all(parsed, '\([^\s()]*|\)|[^\s()]+') toks from p)),
 s as (select *, case when tok[1] = '(' then 1 when tok = ')' then -1 else 0 end step from t),
 ev as (select *, sum(step) over (partition by parse_id order by i)::int depth, coalesce(lead(step) over (partition by parse_id order by i) = 0, false) next_leaf, coalesce(lag(step) over (partition by parse_id order by i) = 0, false) prev_leaf from s),
-bal as (select parse_id, count(*) tokens, count_if(step = 1) opens, count_if(step = -1) closes, count_if(step = 1 and depth = 1) roots, min(depth) >= 0 and arg_max(depth, i) = 0 balanced from ev group by 1)"""
+bal as (select parse_id, count(*) tokens, count_if(step = 1)::bigint opens, count_if(step = -1)::bigint closes, count_if(step = 1 and depth = 1)::bigint roots, min(depth) >= 0 and arg_max(depth, i) = 0 balanced from ev group by 1)"""
 _TY = _EV + """,
 lv as (select *, case when step = -1 then depth + 1 else depth end level from ev where parse_id in (select parse_id from bal where balanced)),
 ty as (select *, last_value(case when step = 1 then tok[2:] end ignore nulls) over w as label, last_value(case when step = 1 then i end ignore nulls) over w as open_at from lv window w as (partition by parse_id, level order by i))"""
@@ -134,7 +134,7 @@ def span_diff(spark, sf):
     return sp.where("diff <> 0")
 
 
-@query(_SPANS + " select label, count(*) spans, sum(r - l + 1)::bigint leaves, min(r - l + 1) shortest, max(r - l + 1) longest, count_if(l = r) / count(*) single_rate from sp group by 1")
+@query(_SPANS + " select label, count(*) spans, sum(r - l + 1)::bigint leaves, min(r - l + 1) shortest, max(r - l + 1) longest, count_if(l = r)::bigint / count(*) single_rate from sp group by 1")
 def span_audit(spark, sf):
     n = F.col("r") - F.col("l") + 1
     return T.spans(_parses(spark, sf)).groupBy("label").agg(F.count("*").alias("spans"), F.sum(n).alias("leaves"), F.min(n).alias("shortest"), F.max(n).alias("longest"), F.try_divide(F.count_if(n == 1), F.count("*")).alias("single_rate"))
