@@ -71,17 +71,22 @@ def near(pairs: DataFrame, threshold: float = 0.8, min_words: int = 50, min_shar
     return scored.where((F.col("jaccard") >= threshold) | ((F.col("containment") >= threshold) & (F.least("na", "nb") >= min_words) & (F.col("shared") >= min_shared))).select("a", "b", "jaccard", "containment")
 
 
+def _keys() -> list[Column]:
+    """128 bits of a run, a sixth of its text: two hashes, the second of the run with a mark."""
+    return [F.xxhash64("gram").alias("h"), F.xxhash64("gram", F.lit("run")).alias("i")]
+
+
 def coverage(left: DataFrame, right: DataFrame, n: int, drop: DataFrame | None = None) -> DataFrame:
     """(id, covered, words_n): how many of a left document's words lie in runs of n words that any
     right document has. left, right: (id, words); drop: (gram) to be left out (templates).
 
     The right side is reduced to distinct runs before the join, and the join is a semi-join, so a
-    run that many documents have is matched once."""
-    rows = gram_rows(left, "id", "words", n)
-    known = gram_rows(right, "id", "words", n).select("gram").distinct()
-    hit = rows.join(known, "gram", "left_semi")
+    run that many documents have is matched once. Runs are matched by 128 bits."""
+    rows = gram_rows(left, "id", "words", n).select("id", "pos", *_keys())
+    known = gram_rows(right, "id", "words", n).select(*_keys()).distinct()
+    hit = rows.join(known, ["h", "i"], "left_semi")
     if drop is not None:
-        hit = hit.join(drop, "gram", "left_anti")
+        hit = hit.join(drop.select(*_keys()), ["h", "i"], "left_anti")
     places = hit.select("id", F.explode(F.sequence("pos", F.col("pos") + n - 1)).alias("at")).distinct().groupBy("id").agg(F.count("*").alias("covered"))
     return left.select("id", F.size("words").alias("words_n")).join(places, "id", "left").select("id", F.coalesce("covered", F.lit(0)).alias("covered"), "words_n")
 
