@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,14 +95,42 @@ def coverage(left: DataFrame, right: DataFrame, n: int, drop: DataFrame | None =
     return left.select("id", F.size("words").alias("words_n")).join(places, "id", "left").select("id", F.coalesce("covered", F.lit(0)).alias("covered"), "words_n")
 
 
+def _band_keys(bands: int, rows: int):
+    """Lists of hashes to lists of `bands` keys, each of `rows` least hashes; a million at a time."""
+    draw = np.random.default_rng(1)
+    mult, add = (draw.integers(0, 2**64, bands * rows, dtype=np.uint64) for _ in range(2))
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        return x ^ (x >> np.uint64(29))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            ends, flat = np.diff(lists.offsets.to_numpy()).cumsum(), lists.flatten().to_numpy().view(np.uint64)
+            keys, i = np.zeros((len(lists), bands), np.uint64), 0
+            while i < len(lists):
+                start = int(ends[i - 1]) if i else 0
+                j = max(i + 1, int(np.searchsorted(ends, start + 1_000_000, "right")))
+                part, at = flat[start : ends[j - 1]], np.concatenate([[0], ends[i : j - 1] - start]).astype(np.int64)
+                for k in range(bands * rows):
+                    least = np.minimum.reduceat(mixed(part * (mult[k] | np.uint64(1)) + add[k]), at)
+                    keys[i:j, k // rows] = mixed(keys[i:j, k // rows] * np.uint64(0xC2B2AE3D27D4EB4F) + least)
+                i = j
+            offsets = np.arange(0, keys.size + 1, bands, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))], ["id", "keys"])
+
+    return run
+
+
 def minhash_bands(docs: DataFrame, id: str, words: str, n: int = 5, bands: int = 14, rows: int = 8) -> DataFrame:
-    """(id, band, key): the key of each band of `rows` least hashes of the document's runs. All in
-    the JVM. Equal documents meet in every band; at similarity s two meet in at least one with
-    probability 1 - (1 - s^rows)^bands."""
-    sets = gram_sets(docs, id, words, n).select(id, F.transform("grams", lambda g: F.xxhash64(g)).alias("h"))
-    least = [F.array_min(F.transform("h", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(bands * rows)]
-    keys = [F.struct(F.lit(b).alias("band"), F.xxhash64(*least[b * rows : (b + 1) * rows]).alias("key")) for b in range(bands)]
-    return sets.select(id, F.explode(F.array(*keys)).alias("x")).select(id, "x.band", "x.key")
+    """(id, band, key): the key of each band of `rows` least hashes of the document's runs. Equal
+    documents meet in every band; at similarity s two meet in at least one with probability
+    1 - (1 - s^rows)^bands."""
+    # repeated runs don't change a minimum
+    hashes = docs.where(F.size(words) >= n).select(id, F.transform(grams(F.col(words), n), lambda g: F.xxhash64(g)).alias("h"))
+    keys = hashes.mapInArrow(_band_keys(bands, rows), f"id {docs.schema[id].dataType.simpleString()}, keys array<bigint>")
+    return keys.select(F.col("id").alias(id), F.posexplode("keys").alias("band", "key"))
 
 
 def band_links(bands: DataFrame, id: str) -> DataFrame:
@@ -106,3 +138,12 @@ def band_links(bands: DataFrame, id: str) -> DataFrame:
     the bucket; not all pairs."""
     low = bands.groupBy("band", "key").agg(F.min(id).alias("a"), F.count("*").alias("n")).where("n > 1")
     return bands.join(low, ["band", "key"]).where(F.col(id) != F.col("a")).select("a", F.col(id).alias("b")).distinct()
+
+
+def bucket_pairs(bands: DataFrame, id: str) -> DataFrame:
+    """(a, b), a < b: every pair that meets in a bucket of any band, each once. For pairs that are
+    verified later: two members may be similar to each other and to the bucket's smallest not."""
+    bands = materialize(bands.select(id, "band", "key"), "bands")
+    shared = bands.join(bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key"), ["band", "key"], "left_semi")
+    one, two = shared.select("band", "key", F.col(id).alias("a")), shared.select("band", "key", F.col(id).alias("b"))
+    return one.join(two, ["band", "key"]).where("a < b").select("a", "b").distinct()

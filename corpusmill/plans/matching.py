@@ -229,18 +229,26 @@ def group_decision(spark, sf):
 
 @query(None)
 def minhash_pairs(spark, sf):
-    """Band links (14 bands of 8) whose exact similarity is 0.7 or more."""
+    """Every pair that meets in a band bucket (14 bands of 8), verified: exact similarity 0.7 or more.
+    Banding finds a pair at 0.7 with probability 56 %, at 0.8 92 %; internal_edges is exact at 0.8."""
     w = materialize(worded(spark, sf), "words")
-    links = S.band_links(S.minhash_bands(w, "id", "words"), "id")
-    sets = S.gram_sets(w, "id", "words", 5)
-    p = links.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b").withColumn("shared", F.size(F.array_intersect("ga", "gb")))
-    return p.select("a", "b", S.jaccard().alias("jaccard")).where("jaccard >= 0.7")
+    return similar_in_buckets(w, S.minhash_bands(w, "id", "words"), 0.7)
+
+
+def similar_in_buckets(w: DataFrame, bands: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs of any bucket whose exact similarity is `least` or more."""
+    pairs = materialize(S.bucket_pairs(bands, "id"), "pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialize(S.gram_sets(w.join(met, "id", "left_semi"), "id", "words", 5), "sets")
+    p = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b").withColumn("shared", F.size(F.array_intersect("ga", "gb")))
+    return p.select("a", "b", S.jaccard().alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 @query(None)
 def minhash_clusters(spark, sf):
-    """Clusters of the band links, one representative each."""
-    c = connected_components(minhash_pairs(spark, sf))
+    """Clusters of all band links, unverified as in the reference, one representative each."""
+    bands = materialize(S.minhash_bands(worded(spark, sf), "id", "words"), "bands")
+    c = connected_components(S.band_links(bands, "id"))
     return c.groupBy("component").agg(F.count("*").alias("members")).withColumnRenamed("component", "representative")
 
 

@@ -15,6 +15,7 @@ from corpusmill.operators.graph import connected_components
 from corpusmill.operators.intervals import interval_join
 from corpusmill.operators.packing import greedy_chunks
 from corpusmill.operators.splitting import cut_long, split_sentences, split_words
+from corpusmill.plans import matching
 from corpusmill.sources import files
 from corpusmill.streaming import incremental
 
@@ -308,3 +309,32 @@ def test_typed_balance_finds_crossed_labels(spark):
     data = [(1, ["<(A>", "x", "<(B>", "y", "<B)>", "<A)>"]), (2, ["<(A>", "<(B>", "x", "<A)>", "<B)>"]), (3, ["<(A>", "x"]), (4, ["x"]), (5, []), (6, None), (7, ["<A)>", "<(A>"]), (None, ["x"]), (8, ["<(A>", "x", "<A)>", "<(A>", "y", "<A)>"])]
     got = {r.parse_id: (r.roots, r.valid) for r in trees.typed_balance(spark.createDataFrame(data, "parse_id int, tree array<string>")).collect()}
     assert got == {1: (1, True), 2: (1, False), 3: (1, False), 4: (0, True), 5: (0, True), 7: (0, False), 8: (2, True)}
+
+
+def test_bucket_pairs_without_the_smallest(spark):
+    """2 and 3 are alike and the bucket's smallest, 1, is like neither."""
+    base = [f"w{k}" for k in range(40)]
+    w = spark.createDataFrame([(1, [f"v{k}" for k in range(40)]), (2, base), (3, [*base[:39], "x"]), (4, base)], "id long, words array<string>")
+    bands = spark.createDataFrame([(1, 0, 7), (2, 0, 7), (3, 0, 7), (2, 1, 8), (3, 1, 8), (4, 2, 9)], "id long, band int, key long")
+    assert rows(similarity.bucket_pairs(bands, "id")) == [(1, 2), (1, 3), (2, 3)]
+    assert rows(matching.similar_in_buckets(w, bands, 0.7).select("a", "b")) == [(2, 3)]
+
+
+def test_minhash_clusters_take_unverified_links(spark, tmp_path, monkeypatch):
+    path = tmp_path / "documents.parquet"
+    spark.createDataFrame([(k, f"s{k}", "a b c d e f") for k in (1, 2, 3)], "doc_id long, source string, text string").write.parquet(str(path))
+    bands = spark.createDataFrame([(1, 0, 7), (2, 0, 7), (3, 0, 7)], "id long, band int, key long")
+    monkeypatch.setattr(matching.S, "minhash_bands", lambda *a, **k: bands)
+    monkeypatch.setattr(matching.S, "jaccard", lambda: F.lit(0.0))
+    assert rows(matching.minhash_clusters(spark, str(tmp_path))) == [(1, 3)]
+
+
+def test_bands_are_independent_and_find_similar_documents(spark):
+    rng = random.Random(5)
+    docs = []
+    for k in range(40):  # similarity above 0.95, with every run at another place
+        own = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        docs += [(2 * k, own), (2 * k + 1, [*own[3:], *(f"x{rng.randrange(10**6)}" for _ in range(3))])]
+    bands = similarity.minhash_bands(spark.createDataFrame(docs, "id long, words array<string>"), "id", "words")
+    assert bands.select("id", "key").distinct().count() == 80 * 14
+    assert rows(similarity.bucket_pairs(bands, "id")) == sorted([(2 * k, 2 * k + 1) for k in range(40)], key=str)
