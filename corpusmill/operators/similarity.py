@@ -95,6 +95,26 @@ def coverage(left: DataFrame, right: DataFrame, n: int, drop: DataFrame | None =
     return left.select("id", F.size("words").alias("words_n")).join(places, "id", "left").select("id", F.coalesce("covered", F.lit(0)).alias("covered"), "words_n")
 
 
+def partial_pairs(docs: DataFrame, n: int = 13, least: float = 0.3, min_words: int = 50, drop: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b, both of `min_words` words or more, where the runs of n words that both have cover
+    `least` of either one's words. docs: (id, words); drop: (gram) to be left out (templates). Runs
+    of one document are left out before the join; they are matched by 128 bits."""
+    long = docs.where(F.size("words") >= min_words)
+    rows = gram_rows(long, "id", "words", n).select("id", "pos", *_keys())
+    if drop is not None:
+        rows = rows.join(drop.select(*_keys()), ["h", "i"], "left_anti")
+    rows = materialize(rows, "runs")
+    common = rows.groupBy("h", "i").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "i")
+    rows = materialize(rows.join(common, ["h", "i"], "left_semi"), "common")
+    one, two = rows.select("h", "i", F.col("id").alias("a"), F.col("pos").alias("pa")), rows.select("h", "i", F.col("id").alias("b"), F.col("pos").alias("pb"))
+    starts = one.join(two, ["h", "i"]).where("a < b").groupBy("a", "b").agg(F.array_sort(F.collect_set("pa")).alias("pa"), F.array_sort(F.collect_set("pb")).alias("pb"))
+    # a start covers n words, or as many as there are to the next start
+    union = lambda c: F.expr(f"aggregate(transform({c}, (p, k) -> least({n}, coalesce(get({c}, k + 1) - p, {n}))), 0, (t, x) -> t + x)")
+    sizes = long.select("id", F.size("words").alias("n"))
+    both = starts.select("a", "b", union("pa").alias("ca"), union("pb").alias("cb")).join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    return both.where((F.col("ca") / F.col("na") >= least) | (F.col("cb") / F.col("nb") >= least)).select("a", "b")
+
+
 def _band_keys(bands: int, rows: int):
     """Lists of hashes to lists of `bands` keys, each of `rows` least hashes; a million at a time."""
     draw = np.random.default_rng(1)

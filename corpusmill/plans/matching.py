@@ -164,6 +164,31 @@ def internal_edges(spark, sf):
     return S.near(S.overlap_pairs(sets, sets, 0.8, self_join=True))
 
 
+_PARTIAL = """t13 as (select gram from g13 group by 1 having count(distinct doc_id) >= greatest(5, ceil((select count(*) from docs) / 100))), v as (select g13.* from g13 join w using (doc_id) where n >= 50 and gram not in (select gram from t13)),
+vp as (select x.doc_id a, y.doc_id b, x.pos pa, y.pos pb from v x join v y on x.gram = y.gram where x.doc_id < y.doc_id), va as (select a, b, count(distinct place) n from (select a, b, unnest(range(pa, pa + 13)) place from vp) group by 1, 2), vb as (select a, b, count(distinct place) n from (select a, b, unnest(range(pb, pb + 13)) place from vp) group by 1, 2),
+pt as (select a, b from va join vb using (a, b) join w wa on wa.doc_id = a join w wb on wb.doc_id = b where va.n / wa.n >= 0.3 or vb.n / wb.n >= 0.3)"""
+_BODIES = "bd as (select doc_id, array_to_string(ws, ' ') body from docs), ex as (select x.doc_id a, y.doc_id b from bd x join bd y on x.body = y.body where x.doc_id < y.doc_id)"
+
+
+@query(f"with {_SETS}, {_PAIRS.format(where='x.doc_id < y.doc_id')}, {Q.grams(13, 'g13')}, {_PARTIAL}, {_BODIES} select a, b, 'near' reason, shared / (ma + mb - shared) jaccard, shared / least(ma, mb) containment from p where {_NEAR} union all select a, b, 'exact', 1, 1 from ex union all select a, b, 'partial', 0, 0 from pt")
+def content_edges(spark, sf):
+    """Exact, near and partial edges within the corpus; a pair has a row for each reason. internal_edges
+    has the near ones alone."""
+    w = materialize(worded(spark, sf), "words")
+    named = lambda pairs, reason, value: pairs.select("a", "b", F.lit(reason).alias("reason"), F.lit(value).alias("jaccard"), F.lit(value).alias("containment"))
+    body = materialize(w.select("id", F.array_join("words", " ").alias("body")).select("id", F.xxhash64("body").alias("h"), F.sha2("body", 256).alias("k")), "bodies")
+    exact = body.toDF("a", "h", "k").join(body.toDF("b", "h", "k"), ["h", "k"]).where("a < b")
+    near = internal_edges(spark, sf).select("a", "b", F.lit("near").alias("reason"), "jaccard", "containment")
+    partial = S.partial_pairs(w.select("id", "words"), drop=templates(w, 5).select("gram"))
+    return near.unionByName(named(exact, "exact", 1.0)).unionByName(named(partial, "partial", 0.0))
+
+
+@query(None)
+def content_groups(spark, sf):
+    """Content groups as in the reference: components of the exact, near and partial edges."""
+    return connected_components(content_edges(spark, sf))
+
+
 _COVER = "h as (select r.doc_id, unnest(range(r.pos, r.pos + 13)) place from r where gram in (select gram from q)), c as (select doc_id, count(distinct place) covered from h group by 1)"
 
 

@@ -338,3 +338,13 @@ def test_bands_are_independent_and_find_similar_documents(spark):
     bands = similarity.minhash_bands(spark.createDataFrame(docs, "id long, words array<string>"), "id", "words")
     assert bands.select("id", "key").distinct().count() == 80 * 14
     assert rows(similarity.bucket_pairs(bands, "id")) == sorted([(2 * k, 2 * k + 1) for k in range(40)], key=str)
+
+
+def test_content_edges_have_exact_and_partial(spark, tmp_path):
+    own = [[f"w{d}x{k}" for k in range(60)] for d in range(4)]
+    share = [f"s{k}" for k in range(30)]
+    texts = [(1, "a b"), (2, "a b"), (3, " ".join(own[0] + share)), (4, " ".join(share + own[1])), (5, " ".join(own[2] + share[:20])), (6, " ".join(share[:30]))]
+    spark.createDataFrame([(i, "s", 0, t) for i, t in texts], "doc_id long, source string, source_row long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(matching.content_edges(spark, str(tmp_path)).select("a", "b", "reason"))
+    assert got == [(1, 2, "exact"), (3, 4, "partial")]  # 5 shares a quarter of itself, 6 is under 50 words
+    assert (4, 3) in rows(matching.content_groups(spark, str(tmp_path)))
