@@ -220,6 +220,18 @@ def pair_verify(spark, sf):
     return j.select("a", "b", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 9).alias("jaccard"))
 
 
+@query(f"with l as (select token_sha, min(record_id) a from records where token_sha is not null and text is not null group by 1 having count(*) > 1), s as (select record_id, token_sha, list_distinct({Q.tokens('text')}) ws from records where text is not null) select l.a, y.record_id b, round(len(list_intersect(x.ws, y.ws)) / len(list_distinct(list_concat(x.ws, y.ws))), 9) jaccard from l join s x on x.record_id = l.a join s y on y.token_sha = l.token_sha and y.record_id > l.a where len(list_concat(x.ws, y.ws)) > 0")
+def pair_verify_members(spark, sf):
+    """Every member of a token hash's group against the group's first, one row a member; pair_verify
+    has the last member alone."""
+    r = table(spark, sf, "records").where("text is not null and token_sha is not null")
+    low = r.groupBy("token_sha").agg(F.min("record_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("token_sha", "a")
+    s = r.select("record_id", "token_sha", F.array_distinct(X.tokens(F.col("text"))).alias("ws"))
+    first = low.join(s.select(F.col("record_id").alias("a"), F.col("ws").alias("x")), "a").select("token_sha", "a", "x")
+    j = first.join(s.select("token_sha", F.col("record_id").alias("b"), F.col("ws").alias("y")), "token_sha").where("b > a and size(x) + size(y) > 0")
+    return j.select("a", "b", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 9).alias("jaccard"))
+
+
 @query("with recursive c as (select 1 n, 1::hugeint catalan union all select n + 1, catalan * 2 * (2 * n - 1) // (n + 1) from c where n < 30) select n::int n, least(catalan, 300)::int capped from c")
 def capped_counts(spark, sf):
     """Numbers of binary trees over n leaves, 300 at most (a table of 30 rows)."""

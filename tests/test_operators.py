@@ -15,7 +15,7 @@ from corpusmill.operators.graph import connected_components
 from corpusmill.operators.intervals import interval_join
 from corpusmill.operators.packing import greedy_chunks
 from corpusmill.operators.splitting import cut_long, split_sentences, split_words
-from corpusmill.plans import matching
+from corpusmill.plans import matching, texts
 from corpusmill.sources import files
 from corpusmill.streaming import incremental
 
@@ -348,3 +348,9 @@ def test_content_edges_have_exact_and_partial(spark, tmp_path):
     got = rows(matching.content_edges(spark, str(tmp_path)).select("a", "b", "reason"))
     assert got == [(1, 2, "exact"), (3, 4, "partial")]  # 5 shares a quarter of itself, 6 is under 50 words
     assert (4, 3) in rows(matching.content_groups(spark, str(tmp_path)))
+
+
+def test_pair_verify_reads_the_middle_of_a_group(spark, tmp_path):
+    rows_in = [(1, "k", "a b"), (2, "k", "c d"), (3, "k", "a b"), (4, "m", "a"), (5, None, "a"), (6, "k", None)]
+    spark.createDataFrame(rows_in, "record_id long, token_sha string, text string").write.parquet(str(tmp_path / "records.parquet"))
+    assert rows(texts.pair_verify_members(spark, str(tmp_path))) == [(1, 2, 0.0), (1, 3, 1.0)]
