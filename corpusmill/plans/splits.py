@@ -238,6 +238,16 @@ def interval_lookup(spark, sf):
     return interval_join(x, r.select("source_shard", "start_tok", "end_tok"), ["source_shard"], "pos", "start_tok", "end_tok").select("source_shard", "pos", "start_tok")
 
 
+@query("with e as (select source_shard, start_tok, end_tok from records), t as (select source_shard, max(end_tok) top from e group by 1), x as (select source_shard, unnest(range(0, top, 500)) pos from t) select x.source_shard, x.pos, e.start_tok from x join e on x.source_shard = e.source_shard and x.pos >= e.start_tok and x.pos < e.end_tok")
+def interval_lookup_full(spark, sf):
+    """Which interval each grid position of a shard falls into, up to the shard's own last token;
+    interval_lookup ends all shards at 50 tokens a record."""
+    r = table(spark, sf, "records").select("source_shard", "start_tok", "end_tok")
+    top = r.groupBy("source_shard").agg(F.max("end_tok").cast("bigint").alias("top")).where("top > 0")
+    x = top.select("source_shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top") - 1, F.lit(500).cast("bigint"))).alias("pos"))
+    return interval_join(x, r, ["source_shard"], "pos", "start_tok", "end_tok").select("source_shard", "pos", "start_tok")
+
+
 @query("select source, split_part(source, '-', 3)::int // 4 shard_group, count(*) n from documents group by 1, 2")
 def shard_groups(spark, sf):
     """Four consecutive shards a task."""
