@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import materialize
 
-#: Frequent function words of some European languages.
+#: Frequent function words of some European languages.
 COMMON = frozenset(
     """
     the a an of and to in is was were that it for on with as at by from this these those be been are or not but their its our your his her
@@ -37,7 +37,7 @@ COMMON = frozenset(
     i w na z się nie do to że jest и в на не с что это по как но
     """.split()
 )
-#: Words of the printers' filler text and its usual variants.
+#: Words of the printers' filler text and its usual variants.
 FILLER = frozenset(
     """
     lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna

@@ -52,7 +52,7 @@ def p7_residue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p7_residue(spark, sf).where("chars > 0").select("doc_id")
+    return p7_residue(spark, sf).where("coverage > 0").select("doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
