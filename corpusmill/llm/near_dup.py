@@ -7,8 +7,11 @@ The index posts a document under its positions, four at a time, as one posting n
 byte to be selective. Documents that share a posting are candidates; their agreeing positions are
 tallied, pairs that reach the guaranteed minimum are kept, and these are verified on their runs.
 
+Posting lists that hold several groups, as those of a page template do, aren't paired within: there
+a pair must also share a run among the rarest of either one, which pairs at the threshold must.
+
 Bounds: at J = 0.7 a pair shares no posting with probability (1 - 0.7^4)^40 < 2e-5, and its tally
-falls below the minimum (six standard deviations below the mean) with probability < 1e-8.
+falls below the minimum (4.5 standard deviations below the mean) with probability < 4e-6.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ _C = np.uint32(0x85EBCA6B)
 def minimum_tally(threshold: float) -> int:
     """Agreeing byte positions that a pair at the threshold has at least."""
     mean = POSITIONS * threshold
-    return max(1, int(mean - 6 * (mean * (1 - threshold)) ** 0.5))
+    return max(1, int(mean - 4.5 * (mean * (1 - threshold)) ** 0.5))
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
@@ -133,16 +136,34 @@ def _candidates(sketches: DataFrame) -> DataFrame:
     return found.where("kind = 0").select("key", "a", "b").unionByName(over).where("a <> b").select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b), a < b: members of the same posting list that lie in different groups and were not
-    linked. A list whose members are all of one group, however many they are, gives none; a long
-    list's join partition is split by AQE."""
+def _mixed(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, own): members of posting lists that hold several groups, and their groups. A list whose
+    members are all of one group, however many they are, gives none."""
     of = labels.select(F.col("node").alias("id"), "component")
     members = links.select("key", F.explode(F.array("a", "b")).alias("id")).distinct().join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("own"))
     mixed = members.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("key")
-    members = materialize(members.join(mixed, "key", "left_semi"), "members")
-    one, two = members.toDF("key", "a", "ca"), members.toDF("key", "b", "cb")
-    return one.join(two, "key").where("ca <> cb and a < b").select("a", "b").distinct().join(links.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    return materialize(members.join(mixed, "key", "left_semi").select("id", "own").distinct(), "mixed")
+
+
+def rare_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, of different groups that share a run of their prefixes. sets: (id, own, grams).
+
+    Runs are ordered by how many of the sets have them. A set of m runs and any of at least m that is
+    near share 2t / (1 + t) * m runs, and the larger one, of n, shares t * n: the first run that they
+    share is among the rarest m - ceil(2t / (1 + t) * m) + 1 of the one and n - ceil(t * n) + 1 of the
+    other. Runs of a template are the last in every order, so that they join nothing below the
+    threshold; runs that only one set has come first and can't be shared. Lengths must allow the
+    similarity, as must what is left after the places of the run."""
+    t = threshold
+    rows = sets.select("id", "own", F.size("grams").alias("m"), F.explode("grams").alias("g"))
+    df = rows.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = rows.join(df, "g").groupBy("id", "own", "m").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("met"))
+    ordered = ordered.select("id", "own", "m", (F.col("m") - F.size("met")).alias("alone"), F.expr(f"slice(met, 1, cast(greatest(0, size(met) - ceil({t} * m - 1e-9) + 1) as int))").alias("met"))
+    prefix = materialize(ordered.select("id", "own", "m", "alone", F.posexplode("met").alias("k", "x")).select("id", "own", "m", F.col("x.g").alias("g"), (F.col("alone") + F.col("k") + 1).alias("p")), "prefix")
+    x = prefix.where(f"p <= m - ceil({2 * t / (1 + t)} * m - 1e-9) + 1").toDF("x", "cx", "mx", "g", "px")
+    y = prefix.toDF("y", "cy", "my", "g", "py")
+    met = x.join(y, "g").where("cx <> cy and (mx < my or mx = my and x < y)").where(f"mx >= {t} * my - 1e-9 and least(px, py) + least(mx - px, my - py) >= {t / (1 + t)} * (mx + my) - 1e-9")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _tallied(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -153,10 +174,13 @@ def _tallied(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFra
     return pairs.join(one, "a").join(two, "b").where(f"least(na, nb) >= {threshold} * greatest(na, nb)").selectExpr("a", "b", "na", "nb", f"{same} tally").where(f"tally >= {minimum_tally(threshold)}")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _gathered(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, grams) of the documents in ids."""
+    return materialize(texts.join(ids.select("id"), "id", "left_semi").mapInArrow(_grams, "id bigint, grams array<bigint>"), "grams")
+
+
+def _verified(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose exact similarity reaches the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    grams = materialize(texts.join(ids, "id", "left_semi").mapInArrow(_grams, "id bigint, grams array<bigint>"), "grams")
     both = pairs.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("shared"), (F.size("ga") + F.size("gb")).alias("total"))
     return both.where(F.col("shared") >= F.lit(threshold) * (F.col("total") - F.col("shared")) - 1e-9).select("a", "b")
@@ -173,8 +197,9 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", thresho
 
     All candidates are treated: first each document's best one by shared postings, which connects
     most groups, then all candidates that lie between different groups, then the members of any
-    posting list that still holds several groups. So a family of edits of any size costs its
-    sketches and texts about once, and not once for each of its pairs.
+    posting list that still holds several groups, where they also share one of their rare runs. So a
+    family of edits, or of pages of one template, costs its sketches and texts about once, and not
+    once for each of its pairs.
     """
     docs = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
     base = materialize(docs.mapInArrow(_sketched(min_words), "id bigint, h1 bigint, h2 bigint, n int, sig array<int>"), "sketches")
@@ -185,13 +210,22 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", thresho
     pairs = materialize(neighbours.groupBy("a", "b").agg(F.count("*").alias("postings")), "pairs")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("postings", -F.col("a"))).alias("a")).select("a", "b")
     links, labels = None, None
-    for stage in (lambda: best, lambda: _across(pairs, labels), lambda: _between(neighbours, labels)):
-        kept = materialize(_tallied(stage(), reps, threshold), "kept")
-        if links is not None and kept.isEmpty():
-            continue
-        near = materialize(_verified(kept, docs, threshold), "links")
-        links = near if links is None else links.unionByName(near)
-        labels = materialize(connected_components(links), "labels")
+
+    def linked(kept: DataFrame, grams: DataFrame | None = None) -> None:
+        nonlocal links, labels
+        kept = materialize(_tallied(kept, reps, threshold), "kept")
+        if links is None or not kept.isEmpty():
+            own = _gathered(docs, kept.select(F.explode(F.array("a", "b")).alias("id")).distinct()) if grams is None else grams
+            near = materialize(_verified(kept, own, threshold), "links")
+            links = near if links is None else links.unionByName(near)
+            labels = materialize(connected_components(links), "labels")
+
+    linked(best)
+    linked(_across(pairs, labels))
+    mixed = _mixed(neighbours, labels)
+    if not mixed.isEmpty():
+        grams = _gathered(docs, mixed)
+        linked(rare_pairs(grams.join(mixed, "id"), threshold), grams)
     of = labels.select(F.col("node").alias("first"), "component")
     return (
         copies.join(of, "first", "left").select(F.coalesce("component", "first").alias("first_id"), "id")

@@ -97,4 +97,28 @@ def test_posting_lists_over_partitions(monkeypatch):
 def test_members_of_mixed_lists(spark):
     links = spark.createDataFrame([(1, 10, 11), (1, 11, 12), (2, 20, 21)], "key long, a long, b long")
     labels = spark.createDataFrame([(10, 10), (11, 10), (20, 20), (21, 20)], "node long, component long")
-    assert sorted(map(tuple, near_dup._between(links, labels).collect())) == [(10, 12)]
+    assert sorted(map(tuple, near_dup._mixed(links, labels).collect())) == [(10, 10), (11, 10), (12, 12)]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8])
+def test_rare_pairs_lose_none(spark, threshold):
+    rng = random.Random(3)
+    sets = {}
+    for i in range(80):
+        base = rng.randrange(4) * 1000
+        sets[i] = sorted({base + rng.randrange(60) for _ in range(rng.randrange(1, 90))} | {base + k for k in range(rng.randrange(40))})
+    near = {(a, b) for a in sets for b in sets if a < b and a % 7 != b % 7 and len(set(sets[a]) & set(sets[b])) >= threshold * len(set(sets[a]) | set(sets[b]))}
+    rows = spark.createDataFrame([(i, i % 7, g) for i, g in sets.items()], "id long, own long, grams array<long>")
+    got = set(map(tuple, near_dup.rare_pairs(rows, threshold).collect()))
+    assert near and near <= got and all(a < b and a % 7 != b % 7 for a, b in got)
+
+
+def test_template_family_gives_few_pairs(spark):
+    """Pages of one template that aren't near (similarity about 0.55) aren't paired with each other."""
+
+    def pairs(n):
+        rows = [(i, i, [*range(100), *range(1000 + 100 * i, 1040 + 100 * i)]) for i in range(n)]  # 100 runs of 180 in common
+        rows += [(n + i, n + i, [*range(100), *range(1000 + 100 * i, 1038 + 100 * i)]) for i in range(10)]  # near to the first ten
+        return near_dup.rare_pairs(spark.createDataFrame(rows, "id long, own long, grams array<long>"), 0.7).count()
+
+    assert pairs(200) == pairs(400) == 10
