@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -47,21 +46,41 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def filesystem(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table written by materialize(); a missing one is no error."""
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone at exit
-        pass
+    fs, p = filesystem(spark, path)
+    fs.delete(p, True)
+
+
+def temporary(spark: SparkSession, path: str) -> str:
+    """Have a folder deleted when the driver's JVM ends, also if the session was stopped before."""
+    fs, p = filesystem(spark, path)
+    fs.mkdirs(p.getParent())
+    fs.deleteOnExit(p)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here, and the
-    loss of an executor repeats only what reads the files. Removed when the driver exits."""
+    loss of an executor repeats only what reads the files. Removed when the driver's JVM ends, or
+    before by drop()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(temporary(spark, path))
+    out._table = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for t in tables:
+        if t is not None and getattr(t, "_table", None):
+            remove(t.sparkSession, t._table)
+            t._table = None
