@@ -3,7 +3,10 @@
 Method: the ledger is a table (bucket, h1, h2, copies, first_id) in Parquet folders by bucket. A
 batch is aggregated to its own keys, joined by a full outer join with the ledger's matching
 buckets, counts are added and the earliest representative stays; only those buckets are written
-anew. Other buckets aren't read.
+anew, and only the young part of them: each bucket has a young and an old part, and the young ones
+are joined into the old when they have grown to a share of them. So a batch costs what came in
+lately, not what the ledger holds. A manifest in the ledger's folder names the parts of every
+bucket: any session can open the ledger, and a batch counts when its manifest is written, or not at all.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.words import sequence_hash, words
-from corpusmill.session import materialize, shared_dir
+from corpusmill.session import drop, filesystem, materialize, shared_dir, temporary
 
 KEYS = "id bigint, h1 bigint, h2 bigint"
 
@@ -58,41 +61,121 @@ def canonical_keys(records: DataFrame, id: str = "record_id", text: str = "text"
     return records.select(F.col(id).cast("bigint"), text, meta).mapInArrow(_keyed, KEYS)
 
 
-class Ledger:
-    """Counts and first ids by canonical key. A version of a bucket is never changed: a batch that
-    fails half-way leaves the ledger as it was. `at` has the folder of each bucket, of which there
-    are at most `buckets`."""
+ROWS = "h1 bigint, h2 bigint, copies bigint, first_id bigint"
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32):
-        self.spark, self.buckets = spark, buckets
-        self.path = path or f"{shared_dir(spark)}/corpusmill/ledger-{uuid.uuid4().hex}"
-        self.at: dict[int, str] = {}
 
-    def _read(self, buckets: list[int]) -> DataFrame:
-        paths = [f"{self.at[b]}/bucket={b}" for b in buckets if b in self.at]
-        if not paths:
-            return self.spark.createDataFrame([], "h1 bigint, h2 bigint, copies bigint, first_id bigint")
-        return self.spark.read.schema("h1 bigint, h2 bigint, copies bigint, first_id bigint").parquet(*paths)
+class Ledger:
+    """Counts and first ids by canonical key, in a folder that any session can open.
+
+    buckets: of a new ledger; fixed then. Choose it so that a bucket's rows suit a few tasks (about
+    1e7). young, old: the folder of each bucket's part. share: the young part's rows over the old
+    one's from which they are joined. Versions are never changed once written: a batch that fails
+    leaves the ledger as it was, and what it wrote is removed by the next one that succeeds. Folders
+    that neither this version nor the one before names are removed. One writer at a time: of two
+    that commit the same version, the second fails."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32, share: float = 0.25):
+        self.spark, self.share = spark, share
+        self.path = path or temporary(spark, f"{shared_dir(spark)}/corpusmill/ledger-{uuid.uuid4().hex}")
+        self.version, self.buckets, self.rows, self.batches = 0, buckets, [0, 0], []
+        self.young: dict[int, str] = {}
+        self.old: dict[int, str] = {}
+        self.kept: set[str] = set()
+        for version in sorted(self._versions(), reverse=True):
+            if self._open(version):
+                break
+
+    # ---- the manifest
+
+    def _versions(self) -> list[int]:
+        fs, p = filesystem(self.spark, self.path)
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return [int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")]
+
+    def _open(self, version: int) -> bool:
+        """Take over a version; False if its manifest was not written to the end."""
+        text = self.spark.read.text(f"{self.path}/manifest-{version}.json", wholetext=True).first()
+        try:
+            own = json.loads(text[0]) if text else None
+        except ValueError:
+            own = None
+        if not own or not own.get("whole"):
+            return False
+        self.version, self.buckets, self.rows, self.batches = version, own["buckets"], own["rows"], own["batches"]
+        self.young, self.old = ({int(k): v for k, v in own[part].items()} for part in ("young", "old"))
+        return True
+
+    def _commit(self, young: dict[int, str], old: dict[int, str], rows: list[int], batches: list[str]) -> None:
+        version = max([self.version, *self._versions()]) + 1
+        own = {"buckets": self.buckets, "rows": rows, "batches": batches, "young": young, "old": old, "whole": True}
+        fs, p = filesystem(self.spark, f"{self.path}/manifest-{version}.json")
+        out = fs.create(p, False)  # an error if another writer was here
+        out.write(bytearray(json.dumps(own).encode()))
+        out.close()
+        before = set(self.young.values()) | set(self.old.values())
+        self.version, self.young, self.old, self.rows, self.batches = version, young, old, rows, batches
+        current = set(young.values()) | set(old.values())
+        fs, p = filesystem(self.spark, self.path)
+        for x in fs.listStatus(p):
+            name = x.getPath().getName()
+            if name.startswith("part-") and name not in current | before or name.startswith("manifest-") and int(name[9:-5]) < version - 1:
+                fs.delete(x.getPath(), True)
+
+    # ---- parts
+
+    def _read(self, part: dict[int, str], buckets: list[int] | None = None) -> DataFrame:
+        paths = [f"{self.path}/{part[b]}/bucket={b}" for b in (part if buckets is None else buckets) if b in part]
+        return self.spark.read.schema(ROWS).parquet(*paths) if paths else self.spark.createDataFrame([], ROWS)
+
+    def _joined(self, one: DataFrame, two: DataFrame) -> DataFrame:
+        """Counts of both added, and the earlier representative."""
+        b = two.toDF("h1", "h2", "n", "low")
+        return one.join(b, ["h1", "h2"], "full_outer").select("h1", "h2", (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"), F.least("first_id", "low").alias("first_id"))
+
+    def _write(self, rows: DataFrame) -> str:
+        """A bucket's rows go to one task, so that it is one file a version."""
+        name = f"part-{uuid.uuid4().hex}"
+        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        return name
+
+    def _bucket(self):
+        return F.pmod("h1", F.lit(self.buckets)).cast("int")
+
+    @property
+    def at(self) -> dict[int, tuple[str | None, str | None]]:
+        """The folders of each bucket's old and young part."""
+        return {b: (self.old.get(b), self.young.get(b)) for b in sorted(self.old | self.young)}
 
     def read(self) -> DataFrame:
         """(h1, h2, copies, first_id), one row a key."""
-        return self._read(sorted(self.at))
+        return self._joined(self._read(self.old), self._read(self.young)) if self.young and self.old else self._read(self.young or self.old)
 
-    def add(self, keys: DataFrame) -> None:
+    def add(self, keys: DataFrame, name: str | None = None) -> None:
         """Count a batch of (id, h1, h2). A batch without rows changes nothing; a row that occurs
-        twice counts twice."""
-        new = materialize(keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("low")), "batch")
-        bucket = F.pmod("h1", F.lit(self.buckets)).cast("int")
-        touched = sorted(r[0] for r in new.select(bucket).distinct().collect())  # at most `buckets` rows
-        if not touched:
+        twice counts twice. A batch whose name was counted already is left out, so that a batch can
+        be sent again when it isn't known whether it was counted. (Names are kept in the manifest.)"""
+        if name is not None and name in self.batches:
+            return
+        new = materialize(keys.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("id").alias("first_id")), "batch")
+        touched = sorted(r[0] for r in new.select(self._bucket()).distinct().collect())  # at most `buckets` rows
+        if touched:
+            part = self._write(self._joined(self._read(self.young, touched), new))
+            young = self.young | {b: part for b in touched}
+            self._commit(young, self.old, [self._read(young).count(), self.rows[1]], self.batches + ([name] if name is not None else []))
+        drop(new)
+        if self.rows[0] > self.share * self.rows[1]:
+            self.compact()
+
+    def compact(self) -> None:
+        """Join the young parts into the old ones of the same buckets."""
+        if not self.young:
             return
-        old = self._read(touched)
-        both = new.join(old, ["h1", "h2"], "full_outer").select(
-            "h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("copies", F.lit(0))).alias("copies"), F.least("low", "first_id").alias("first_id"), bucket.alias("bucket")
-        )
-        folder = f"{self.path}/{uuid.uuid4().hex}"
-        both.write.option("compression", "zstd").partitionBy("bucket").parquet(folder)
-        self.at |= {b: folder for b in touched}
+        same = sorted(b for b in self.young if b in self.old)
+        old = self.old | self.young  # a bucket without an old part just grows old
+        if same:
+            part = self._write(self._joined(self._read(self.old, same), self._read(self.young, same)))
+            old |= {b: part for b in same}
+        self._commit({}, old, [0, self._read(old).count()], self.batches)
 
 
 def arrivals(records: DataFrame, seen: str, batches: int) -> DataFrame:
@@ -113,7 +196,7 @@ def copies(records: DataFrame, id: str = "record_id", text: str = "text", meta:
     keys = materialize(timed.select(F.col(id).cast("bigint").alias("id"), text, meta, "batch").mapInArrow(_keyed_batch, KEYS + ", batch int"), "keys")
     ledger = Ledger(records.sparkSession)
     for k in range(batches):
-        ledger.add(keys.where(F.col("batch") == k).select("id", "h1", "h2"))
+        ledger.add(keys.where(F.col("batch") == k).select("id", "h1", "h2"), f"arrivals-{k}")
     several = ledger.read().where("copies > 1")
     found = keys.select("id", "h1", "h2").join(several, ["h1", "h2"]).where("id <> first_id").select(F.col("first_id").alias("record_id"), F.col("id").alias("copy_id"))
     return keys, ledger, found
