@@ -76,7 +76,7 @@ def test_hot_length(spark):
     df = spark.range(900).selectExpr("id doc_id", "if(id < 600, 33L, id % 60 + 1) tokens")
     limits = spark.createDataFrame([(1, 100)], "pack_id int, capacity int")
     sizes = {r.doc_id: r.tokens for r in df.collect()}
-    fill = check_packing(packing.pack(df, limits, salts=3).collect(), sizes, {1: 100})
+    fill = check_packing(packing.pack(df.repartition(3), limits).collect(), sizes, {1: 100})
     assert len(fill) <= 1.02 * -(-sum(sizes.values()) // 100) + 2
 
 
@@ -89,6 +89,26 @@ def test_plan_is_near_the_bound():
     assert set(rows) == set(placed) and all((np.diff(r[:, 0]) > 0).all() for r in rows.values())
 
 
+@pytest.mark.parametrize("capacity", [64, 256, 1024])
+def test_program_places_nearly_all(capacity):
+    """Configurations hold at least nine tenths of the volume; the plan is close to the bound and not worse than best fit."""
+    rng = np.random.default_rng(6)
+    lengths, counts = np.unique(np.minimum(np.ceil(rng.lognormal(4.5, 0.8, 20_000)), 4000).astype(int) % capacity, return_counts=True)
+    lengths, counts = lengths[1:], counts[1:]
+    left = counts.copy()
+    groups = packing._configured(lengths, left, capacity, packing.ROUNDS)
+    assert sum(n * int(used @ lengths) for used, n in groups) >= 0.9 * (lengths @ counts)
+    rows, n, bound = packing.plan(lengths, counts, capacity)
+    plain = packing._best_fit(lengths, counts, capacity, [])
+    assert -(-(lengths @ counts) // capacity) - 1e-6 <= bound + 1 and bound - 1e-6 <= n <= min(sum(k for _, k in plain), 1.02 * bound + 2)
+
+
+def test_lower_bound_holds():
+    assert packing.lower_bound(np.array([51, 60]), np.array([7, 5]), 100) == 12
+    assert packing.lower_bound(np.array([34]), np.array([10]), 100) == 5
+    assert packing.lower_bound(np.array([50]), np.array([10]), 100) == 5
+
+
 def test_best_configuration_is_optimal():
     rng = np.random.default_rng(1)
     for _ in range(30):
