@@ -12,13 +12,14 @@ from __future__ import annotations
 import base64
 import importlib.util
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed value: how the tokenizer cuts a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -35,9 +36,13 @@ def tokenizer_file(name: str = "byte_bpe_50k.tiktoken", folder: str | None = Non
     return os.path.join(folder, name)
 
 
+def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
-        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+        return read_ranks(lines)
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -100,8 +105,8 @@ class Encoder(dict):
     that merging every entry's bytes gives that entry). Emptied when full: memory stays bounded;
     long pieces aren't kept."""
 
-    def __init__(self, path: str):
-        self.ranks = load_ranks(path)
+    def __init__(self, vocabulary: bytes):
+        self.ranks = read_ranks(vocabulary.splitlines())
         self.pieces = regex.compile(PATTERN).findall
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
@@ -122,14 +127,27 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    """For use where the file is: executors get it as a broadcast."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        with open(path, "rb") as f:
+            _ENCODERS[path] = Encoder(f.read())
     return _ENCODERS[path]
 
 
-def _run(path: str, counts: bool):
+def _shared(name: str, file) -> Encoder:
+    """One encoder a worker process, from the broadcast file."""
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(file.value)
+    return _ENCODERS[name]
+
+
+def _run(spark: SparkSession, path: str, counts: bool):
+    with open(path, "rb") as f:
+        file = f.read()
+    name, shared = f"{path} {xxhash.xxh3_64_hexdigest(file)}", spark.sparkContext.broadcast(file)  # a file of about 1 MB
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = _shared(name, shared).encode
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):  # so that ids of long texts don't pile up
                 part = batch.slice(k, 1000)
@@ -151,10 +169,10 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
     One row out for each row in, repeated rows and null ids too; null and empty texts give an empty
     list; blank ones are encoded. No shuffle. Extra columns are ignored."""
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(id, text).mapInArrow(_run(path or tokenizer_file(), False), f"`{id}` {kind}, ids array<int>")
+    return docs.select(id, text).mapInArrow(_run(docs.sparkSession, path or tokenizer_file(), False), f"`{id}` {kind}, ids array<int>")
 
 
 def token_counts(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(id, tokens): the number of ids of each row's text, as encode() has them."""
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(id, text).mapInArrow(_run(path or tokenizer_file(), True), f"`{id}` {kind}, tokens bigint")
+    return docs.select(id, text).mapInArrow(_run(docs.sparkSession, path or tokenizer_file(), True), f"`{id}` {kind}, tokens bigint")
