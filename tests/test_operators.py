@@ -282,7 +282,7 @@ def test_chain_stages(spark):
         "Their marks still show above many doors, and children learn at school what each one means.", "In dry years people walk to the ford and look for coins between the pebbles.",
         "Most finds are worthless, though a silver buckle went to the museum last spring.", "It will be shown together with letters from merchants, maps and a broken loom.",
     ])
-    texts = {"good": good, "lorem": good + "\nLorem ipsum dolor.", "curly": good + "\nand then { here", "script": good + "\nplease use JavaScript { here", "spaces": good.replace(".\n", ". \n"), "repeat": (good.split("\n")[0] + "\n") * 9}
+    texts = {"good": good, "lorem": good + "\nLorem ipsum dolor.", "curly": good + "\nand then { here", "script": good + "\nplease use JavaScript { here", "spaces": (good + "\n").replace(".\n", ". \n"), "repeat": (good.split("\n")[0] + "\n") * 9}
     df = spark.createDataFrame(list(texts.items()), "id string, t string")
     stats = filters.repetition_statistics(df, "id", "t").join(filters.chain_statistics(df, "id", "t"), "id")
     first = {r.id: r.first_failure for r in filters.chain(stats, "id").collect()}
