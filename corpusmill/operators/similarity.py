@@ -1,4 +1,9 @@
-"""Similarity joins on runs of words, by equi-joins on the runs."""
+"""Similarity joins on runs of words, by equi-joins on hashes of the runs.
+
+Runs are hashed once, in Arrow: each different word of a batch once, runs by a rolling sum over the
+flat array of all words. Sets and lists of runs are then 8 bytes a run (64 bits), or 16 (128 bits)
+where a single false match would count.
+"""
 
 from __future__ import annotations
 
@@ -6,58 +11,114 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import grams
+from corpusmill.functions.words import runs as run_hashes
 from corpusmill.session import materialize
 
 
-def gram_rows(docs: DataFrame, id: str, words: str, n: int) -> DataFrame:
-    """(id, pos, gram) of every run of n words, pos from 1."""
-    return docs.select(id, F.posexplode(grams(F.col(words), n)).alias("pos", "gram")).withColumn("pos", F.col("pos") + 1)
+def _hashed(words: pa.ListArray, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of n words of all lists, one after the other, and the number of each list's."""
+    flat = words.flatten()
+    kinds = flat.dictionary_encode() if len(flat) else None
+    sizes = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    count = np.maximum(sizes - n + 1, 0)
+    if kinds is None or not count.any():
+        return np.empty(0, np.int64), np.zeros(len(words), np.int64)
+    own = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in kinds.dictionary.to_pylist()), np.uint64, len(kinds.dictionary))
+    every = run_hashes(own[kinds.indices.to_numpy()], n)
+    starts = np.cumsum(sizes) - sizes
+    at = np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(count.sum())  # runs over the end of a list are left out
+    return every[at].view(np.int64), count
+
+
+def _lists(flat: np.ndarray, count: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), pa.array(flat, pa.int64()))
+
+
+def _sets(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, count = _hashed(batch.column(1), n)
+            doc = np.repeat(np.arange(len(count)), count)
+            order = np.lexsort((flat, doc))
+            flat, doc = flat[order], doc[order]
+            new = np.concatenate([[True], (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])]) if len(flat) else np.empty(0, bool)
+            own = np.bincount(doc[new], minlength=len(count))
+            keep = count > 0
+            sizes = pc.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+            kept = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), pa.array(sizes[keep].astype(np.int32)), _lists(flat[new], own[keep])], ["id", "words_n", "grams"])
+
+    return run
 
 
 def gram_sets(docs: DataFrame, id: str, words: str, n: int) -> DataFrame:
-    """(id, words_n, grams): the distinct runs; documents without one are left out."""
-    return docs.select(id, F.size(words).alias("words_n"), F.array_distinct(grams(F.col(words), n)).alias("grams")).where(F.col("words_n") >= n)
+    """(id, words_n, grams): the distinct runs of n words, as sorted 64-bit hashes; documents without one
+    are left out."""
+    return docs.select(id, words).mapInArrow(_sets(n), f"`{id}` {docs.schema[id].dataType.simpleString()}, words_n int, grams array<bigint>")
+
+
+def _positioned(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, count = _hashed(batch.column(1), n)
+            i, _ = _hashed(batch.column(1), n, 1)
+            at = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count) + 1
+            for k in range(0, max(1, len(h)), 1_000_000):  # so that long texts don't pile up
+                part = slice(k, k + 1_000_000)
+                ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)[part]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(at[part].astype(np.int32)), pa.array(h[part], pa.int64()), pa.array(i[part], pa.int64())], ["id", "pos", "h", "i"])
+
+    return run
+
+
+def run_rows(docs: DataFrame, id: str, words: str, n: int) -> DataFrame:
+    """(id, pos, h, i) of every run of n words: its place from 1 and 128 bits of it."""
+    return docs.select(id, words).mapInArrow(_positioned(n), f"`{id}` {docs.schema[id].dataType.simpleString()}, pos int, h bigint, i bigint")
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, least: float, self_join: bool = False) -> DataFrame:
+def classes(docs: DataFrame, id: str, words: str) -> DataFrame:
+    """(id, class_id): the smallest id of the documents with the same words in the same order, by 128
+    bits. Documents without words are one class."""
+    keys = docs.select(id, F.sha2(F.array_join(words, " "), 256).alias("_k"))
+    low = keys.groupBy("_k").agg(F.min(id).alias("class_id"))
+    return keys.join(low, "_k").select(id, "class_id")
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, least: float, self_join: bool = False, min_words: int = 0) -> DataFrame:
     """(a, b, na, nb, ga, gb, shared) for pairs whose shared runs are at least `least` of the smaller
-    set. left and right: (id, words_n, grams) as gram_sets() has them.
+    set. left and right: (id, words_n, grams) as gram_sets() has them, one row for each content, as
+    pairs of n equal ones are n times n rows. With min_words, pairs whose smaller text is shorter must
+    also allow a similarity of `least` by their sizes.
 
     Prefix filter: of a set of m runs ordered by rarity, any set that shares least * m of them has
     one of the rarest m - ceil(least * m) + 1. So the rare prefix of the smaller set is joined with
-    the whole of the larger one; runs as 64-bit hashes. Hot runs (templates) fall out of prefixes.
-    Candidates are verified on the runs themselves."""
-    one = left.select(F.lit(0).alias("side"), "id", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
-    rows = one if self_join else one.unionByName(right.select(F.lit(1).alias("side"), "id", F.size("grams").alias("m"), F.explode("grams").alias("gram")))
-    rows = materialize(rows.select("side", "id", "m", F.xxhash64("gram").alias("h")), "grams")
-    df = rows.groupBy("h").agg(F.count("*").alias("df"))
-    if self_join:
-        df = df.where("df > 1")
-    ranked = rows.join(df, "h").withColumn("r", F.row_number().over(Window.partitionBy("side", "id").orderBy("df", "h")))
-    # runs that only one document has can't be shared: they come first in the order, so count them in
-    kept = F.col("m") - F.ceil(F.col("m") * F.lit(least) - 1e-9) + 1
-    if self_join:
-        alone = ranked.groupBy("side", "id").agg(F.count("*").alias("met"))
-        ranked = ranked.join(alone, ["side", "id"])
-        prefix = ranked.where(F.col("r") + F.col("m") - F.col("met") <= kept)
-    else:
-        prefix = ranked.where(F.col("r") <= kept)
-    p = prefix.select("side", F.col("id").alias("x"), F.col("m").alias("mx"), "h")
-    q = rows.select(F.col("side").alias("other"), F.col("id").alias("y"), F.col("m").alias("my"), "h")
-    met = p.join(q, "h").where(F.col("mx") <= F.col("my"))
+    the whole of the larger one. Runs that can't be shared come first in the order; hot runs
+    (templates) fall out of prefixes. Candidates are verified on their runs."""
+    one = left.select(F.lit(0).alias("side"), "id", "words_n", "grams")
+    both = materialize(one if self_join else one.unionByName(right.select(F.lit(1).alias("side"), "id", "words_n", "grams")), "sets")
+    rows = both.select("side", "id", "words_n", F.size("grams").alias("m"), F.explode("grams").alias("h"))
+    shared = rows.groupBy("h").agg(F.count("*").alias("df"), F.min("side").alias("low"), F.max("side").alias("high")).where("df > 1" if self_join else "low < high").select("h", "df")
+    met = materialize(rows.join(shared, "h"), "shared")
+    ordered = met.groupBy("side", "id", "words_n", "m").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("x"))
+    cut = F.expr(f"slice(x, 1, cast(greatest(0, size(x) - ceil({least} * m - 1e-9) + 1) as int))")
+    p = ordered.select("side", F.col("id").alias("x"), F.col("words_n").alias("nx"), F.col("m").alias("mx"), F.explode(cut).alias("k")).select("side", "x", "nx", "mx", "k.h")
+    q = met.select(F.col("side").alias("other"), F.col("id").alias("y"), F.col("words_n").alias("ny"), F.col("m").alias("my"), "h")
+    pairs = p.join(q, "h").where(F.col("mx") <= F.col("my"))
+    if min_words:
+        pairs = pairs.where((F.least("nx", "ny") >= min_words) | (F.col("mx") >= F.lit(least) * F.col("my") - 1e-9))
     if self_join:
-        met = met.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     else:
-        met = met.where("side <> other").select(F.when(F.col("side") == 0, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("side") == 0, F.col("y")).otherwise(F.col("x")).alias("b"))
-    met = met.distinct()
-    l = left.select(F.col("id").alias("a"), F.col("words_n").alias("na"), F.col("grams").alias("ga"))
-    r = (left if self_join else right).select(F.col("id").alias("b"), F.col("words_n").alias("nb"), F.col("grams").alias("gb"))
-    both = met.join(l, "a").join(r, "b").withColumn("shared", F.size(F.array_intersect("ga", "gb")))
-    return both.where(F.col("shared") >= F.lit(least) * F.least(F.size("ga"), F.size("gb")) - 1e-9)
+        pairs = pairs.where("side <> other").select(F.when(F.col("side") == 0, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("side") == 0, F.col("y")).otherwise(F.col("x")).alias("b"))
+    l = both.where("side = 0").select(F.col("id").alias("a"), F.col("words_n").alias("na"), F.col("grams").alias("ga"))
+    r = both.where(f"side = {0 if self_join else 1}").select(F.col("id").alias("b"), F.col("words_n").alias("nb"), F.col("grams").alias("gb"))
+    found = pairs.distinct().join(l, "a").join(r, "b").withColumn("shared", F.size(F.array_intersect("ga", "gb")))
+    return found.where(F.col("shared") >= F.lit(least) * F.least(F.size("ga"), F.size("gb")) - 1e-9)
 
 
 def jaccard() -> Column:
@@ -75,46 +136,78 @@ def near(pairs: DataFrame, threshold: float = 0.8, min_words: int = 50, min_shar
     return scored.where((F.col("jaccard") >= threshold) | ((F.col("containment") >= threshold) & (F.least("na", "nb") >= min_words) & (F.col("shared") >= min_shared))).select("a", "b", "jaccard", "containment")
 
 
-def _keys() -> list[Column]:
-    """128 bits of a run, a sixth of its text: two hashes, the second of the run with a mark."""
-    return [F.xxhash64("gram").alias("h"), F.xxhash64("gram", F.lit("run")).alias("i")]
+def template_keys(docs: DataFrame, n: int, floor: int, words: str = "words") -> DataFrame:
+    """(h, i, df): runs of n words in at least `floor` documents and a hundredth of them."""
+    least = max(floor, -(-docs.count() // 100))
+    df = run_rows(docs, "id", words, n).select("id", "h", "i").distinct().groupBy("h", "i").agg(F.count("*").alias("df"))
+    return df.where(F.col("df") >= least)
+
+
+def _covered(starts: str, n: int) -> Column:
+    """Words in runs of n that begin at sorted places: a start covers n, or as many as there are to the next."""
+    return F.expr(f"aggregate(transform({starts}, (p, k) -> least({n}, coalesce(get({starts}, k + 1) - p, {n}))), 0, (t, x) -> t + x)")
 
 
 def coverage(left: DataFrame, right: DataFrame, n: int, drop: DataFrame | None = None) -> DataFrame:
     """(id, covered, words_n): how many of a left document's words lie in runs of n words that any
-    right document has. left, right: (id, words); drop: (gram) to be left out (templates).
+    right document has. left, right: (id, words); drop: (h, i) to be left out (templates).
 
     The right side is reduced to distinct runs before the join, and the join is a semi-join, so a
-    run that many documents have is matched once. Runs are matched by 128 bits."""
-    rows = gram_rows(left, "id", "words", n).select("id", "pos", *_keys())
-    known = gram_rows(right, "id", "words", n).select(*_keys()).distinct()
+    run that many documents have is matched once."""
+    rows = run_rows(left, "id", "words", n)
+    known = run_rows(right, "id", "words", n).select("h", "i").distinct()
     hit = rows.join(known, ["h", "i"], "left_semi")
     if drop is not None:
-        hit = hit.join(drop.select(*_keys()), ["h", "i"], "left_anti")
-    places = hit.select("id", F.explode(F.sequence("pos", F.col("pos") + n - 1)).alias("at")).distinct().groupBy("id").agg(F.count("*").alias("covered"))
+        hit = hit.join(drop.select("h", "i"), ["h", "i"], "left_anti")
+    places = hit.groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("at")).select("id", _covered("at", n).alias("covered"))
     return left.select("id", F.size("words").alias("words_n")).join(places, "id", "left").select("id", F.coalesce("covered", F.lit(0)).alias("covered"), "words_n")
 
 
+def pair_coverage(left: DataFrame, right: DataFrame, n: int, self_join: bool = False, drop: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+    """(a, b, ca, cb, na, nb): for pairs that share a run of n words, the words of each that lie in runs
+    the other has, and their numbers of words. left, right: (id, words). With self_join, a < b.
+
+    Runs that only one document (or side) has are left out first. A run is joined once for each document,
+    with all its places there, so that texts that repeat themselves don't multiply. Pairs are counted
+    before their places are gathered: those whose runs, of n words each, can't cover `least` of either
+    text are left out there."""
+    one = run_rows(left, "id", "words", n).withColumn("side", F.lit(0))
+    rows = one if self_join else one.unionByName(run_rows(right, "id", "words", n).withColumn("side", F.lit(1)))
+    if drop is not None:
+        rows = rows.join(drop.select("h", "i"), ["h", "i"], "left_anti")
+    rows = materialize(rows.groupBy("h", "i", "side", "id").agg(F.collect_list("pos").alias("at")), "runs")
+    common = rows.groupBy("h", "i").agg(F.min("id" if self_join else "side").alias("low"), F.max("id" if self_join else "side").alias("high")).where("low < high").select("h", "i")
+    rows = materialize(rows.join(common, ["h", "i"], "left_semi"), "common")
+    x = rows.where("side = 0").select("h", "i", F.col("id").alias("a"), F.col("at").alias("pa"))
+    y = (rows if self_join else rows.where("side = 1")).select("h", "i", F.col("id").alias("b"), F.col("at").alias("pb"))
+    na, nb = left.select(F.col("id").alias("a"), F.size("words").alias("na")), (left if self_join else right).select(F.col("id").alias("b"), F.size("words").alias("nb"))
+    met = x.join(y, ["h", "i"])
+    met = met.where("a < b") if self_join else met
+    if least:
+        told = met.groupBy("a", "b").agg(F.sum(F.size("pa")).alias("ka"), F.sum(F.size("pb")).alias("kb")).join(na, "a").join(nb, "b")
+        met = met.join(materialize(told.where(f"ka * {n} >= {least} * na - 1e-9 or kb * {n} >= {least} * nb - 1e-9").select("a", "b"), "likely"), ["a", "b"], "left_semi")
+    starts = met.groupBy("a", "b").agg(F.array_sort(F.flatten(F.collect_list("pa"))).alias("pa"), F.array_sort(F.flatten(F.collect_list("pb"))).alias("pb"))
+    return starts.select("a", "b", _covered("pa", n).alias("ca"), _covered("pb", n).alias("cb")).join(na, "a").join(nb, "b")
+
+
 def partial_pairs(docs: DataFrame, n: int = 13, least: float = 0.3, min_words: int = 50, drop: DataFrame | None = None) -> DataFrame:
     """(a, b), a < b, both of `min_words` words or more, where the runs of n words that both have cover
-    `least` of either one's words. docs: (id, words); drop: (gram) to be left out (templates). Runs
-    of one document are left out before the join; they are matched by 128 bits."""
+    `least` of either one's words. docs: (id, words); drop: (h, i) to be left out (templates)."""
     long = docs.where(F.size("words") >= min_words)
-    rows = gram_rows(long, "id", "words", n).select("id", "pos", *_keys())
-    if drop is not None:
-        rows = rows.join(drop.select(*_keys()), ["h", "i"], "left_anti")
-    rows = materialize(rows, "runs")
-    common = rows.groupBy("h", "i").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "i")
-    rows = materialize(rows.join(common, ["h", "i"], "left_semi"), "common")
-    one, two = rows.select("h", "i", F.col("id").alias("a"), F.col("pos").alias("pa")), rows.select("h", "i", F.col("id").alias("b"), F.col("pos").alias("pb"))
-    starts = one.join(two, ["h", "i"]).where("a < b").groupBy("a", "b").agg(F.array_sort(F.collect_set("pa")).alias("pa"), F.array_sort(F.collect_set("pb")).alias("pb"))
-    # a start covers n words, or as many as there are to the next start
-    union = lambda c: F.expr(f"aggregate(transform({c}, (p, k) -> least({n}, coalesce(get({c}, k + 1) - p, {n}))), 0, (t, x) -> t + x)")
-    sizes = long.select("id", F.size("words").alias("n"))
-    both = starts.select("a", "b", union("pa").alias("ca"), union("pb").alias("cb")).join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    both = pair_coverage(long, long, n, True, drop, least)
     return both.where((F.col("ca") / F.col("na") >= least) | (F.col("cb") / F.col("nb") >= least)).select("a", "b")
 
 
+def shared_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, ma, mb, na, nb, shared) for every pair that shares a run. left, right: as gram_sets() has
+    them. One row of the join for each shared run of each pair: a run that many documents of both
+    sides have costs the product of their numbers, and AQE splits its partition."""
+    one, two = (d.select(F.col("id").alias(k), F.size("grams").alias(f"m{k}"), F.col("words_n").alias(f"n{k}"), F.explode("grams").alias("h")) for d, k in ((left, "a"), (right, "b")))
+    pairs = one.select("a", "h").join(two.select("b", "h"), "h").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    sizes = lambda d, k: d.select(F.col("id").alias(k), F.size("grams").alias(f"m{k}"), F.col("words_n").alias(f"n{k}"))
+    return pairs.join(sizes(left, "a"), "a").join(sizes(right, "b"), "b")
+
+
 def _band_keys(bands: int, rows: int):
     """Lists of hashes to lists of `bands` keys, each of `rows` least hashes; a million at a time."""
     draw = np.random.default_rng(1)
@@ -147,8 +240,7 @@ def minhash_bands(docs: DataFrame, id: str, words: str, n: int = 5, bands: int =
     """(id, band, key): the key of each band of `rows` least hashes of the document's runs. Equal
     documents meet in every band; at similarity s two meet in at least one with probability
     1 - (1 - s^rows)^bands."""
-    # repeated runs don't change a minimum
-    hashes = docs.where(F.size(words) >= n).select(id, F.transform(grams(F.col(words), n), lambda g: F.xxhash64(g)).alias("h"))
+    hashes = gram_sets(docs, id, words, n).select(id, "grams")
     keys = hashes.mapInArrow(_band_keys(bands, rows), f"id {docs.schema[id].dataType.simpleString()}, keys array<bigint>")
     return keys.select(F.col("id").alias(id), F.posexplode("keys").alias("band", "key"))
 

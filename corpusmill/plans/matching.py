@@ -10,9 +10,11 @@ from corpusmill.operators import dedup, ordered, similarity as S
 from corpusmill.operators.graph import connected_components
 from corpusmill.plans import sql as Q
 from corpusmill.plans.registry import docs, query, table
-from corpusmill.session import materialize
+from corpusmill.session import materialize, spread
 
 RES = "source >= 'crawl-shard-030'"
+#: Documents that make a run a template, at least; 100 on large tables, 3 here, where the small ones have some.
+FLOOR = 3
 
 
 def reserved() -> Column:
@@ -26,7 +28,25 @@ def held() -> Column:
 
 def worded(spark: SparkSession, sf: str) -> DataFrame:
     """(id, source, words) of documents with a text."""
-    return docs(spark, sf).where("text is not null").select(F.col("doc_id").alias("id"), "source", X.tokens(F.col("text")).alias("words"))
+    return spread(docs(spark, sf)).where("text is not null").select(F.col("doc_id").alias("id"), "source", X.tokens(F.col("text")).alias("words"))
+
+
+def bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """worded() with a key of the whole text's words (SHA-256 of the body), written once."""
+    w = worded(spark, sf)
+    return materialize(w.withColumns({"key": F.sha2(F.array_join("words", " "), 256), "reserved": reserved()}), "bodies")
+
+
+def representatives(b: DataFrame, *by: str) -> DataFrame:
+    """The rows of the smallest id of each content, within `by`."""
+    low = b.groupBy(*by, "key").agg(F.min("id").alias("id"))
+    return b.join(low.select("id"), "id", "left_semi")
+
+
+def memberships(b: DataFrame, *by: str) -> DataFrame:
+    """(id, class_id) of every row, within `by`."""
+    low = b.groupBy(*by, "key").agg(F.min("id").alias("class_id"))
+    return b.select("id", *by, "key").join(low, [*by, "key"]).select("id", "class_id")
 
 
 @query(f"select doc_id, source, source_row, {Q.content_key('text')} text_key from documents where text is not null qualify row_number() over (partition by {Q.content_key('text')} order by source, source_row, doc_id) = 1")
@@ -86,15 +106,45 @@ def line_dedup(spark, sf):
     return dedup.unique_lines(docs(spark, sf), "doc_id", "text")
 
 
-@query("""
-with t as (select record_id, source_shard, token_sha, (source_shard >= 'crawl-shard-030')::int split, length(text) n from records where text is not null and token_sha is not null)
-select a.record_id held_id, b.record_id train_id, a.source_shard = b.source_shard same_shard from t a join t b on a.token_sha = b.token_sha and a.n = b.n where a.split > 0 and b.split = 0""")
+_HELD = "t as (select record_id, source_shard, token_sha, text, (source_shard >= 'crawl-shard-030') held from records where text is not null and token_sha is not null)"
+
+
+def _contents(spark, sf):
+    """Contents of records by token hash, length and the text itself, with the train rows' number and first id."""
+    t = table(spark, sf, "records").where("text is not null and token_sha is not null").select("record_id", "source_shard", "token_sha", held().alias("held"), F.length("text").alias("n"), "text")
+    train = t.where("not held").groupBy("token_sha", "n", "text").agg(F.count("*").alias("train_rows"), F.min("record_id").alias("first_train"))
+    return t, train
+
+
+@query(f"with {_HELD} select token_sha, count_if(held)::bigint held_rows, count_if(not held)::bigint train_rows, min(case when held then record_id end) first_held, min(case when not held then record_id end) first_train from t group by token_sha, text having count_if(held) > 0 and count_if(not held) > 0")
 def exact_overlap(spark, sf):
-    """Held-out records and their exact train copies; the length is a join key before the hash."""
-    t = table(spark, sf, "records").where("text is not null and token_sha is not null").select("record_id", "source_shard", "token_sha", held().cast("int").alias("split"), F.length("text").alias("n"))
-    a = t.where("split > 0").select(F.col("record_id").alias("held_id"), F.col("source_shard").alias("s"), "n", "token_sha")
-    b = t.where("split = 0").select(F.col("record_id").alias("train_id"), "source_shard", "n", "token_sha")
-    return a.join(b, ["n", "token_sha"]).select("held_id", "train_id", (F.col("s") == F.col("source_shard")).alias("same_shard"))
+    """Contents that held-out and train records share, one row each: equal by hash and by the text itself."""
+    t, train = _contents(spark, sf)
+    own = t.where("held").groupBy("token_sha", "n", "text").agg(F.count("*").alias("held_rows"), F.min("record_id").alias("first_held"))
+    return own.join(train, ["token_sha", "n", "text"]).select("token_sha", "held_rows", "train_rows", "first_held", "first_train")
+
+
+@query(f"with {_HELD} select h.record_id held_id, count(*) train_copies, min(r.record_id) first_train, count_if(r.source_shard = h.source_shard)::bigint same_shard from t h join t r on r.token_sha = h.token_sha and r.text = h.text and not r.held where h.held group by 1")
+def exact_overlap_members(spark, sf):
+    """Held-out records with their exact train copies: how many, the first, and how many of the same shard."""
+    t, train = _contents(spark, sf)
+    shards = t.where("not held").groupBy("token_sha", "n", "text", "source_shard").agg(F.count("*").alias("same"))
+    rows = t.where("held").join(train, ["token_sha", "n", "text"]).join(shards, ["token_sha", "n", "text", "source_shard"], "left")
+    return rows.select(F.col("record_id").alias("held_id"), F.col("train_rows").alias("train_copies"), "first_train", F.coalesce("same", F.lit(0)).alias("same_shard"))
+
+
+@query(f"with {_HELD}, m as (select h.record_id, count(*) copies from t h join t r on r.token_sha = h.token_sha and r.text = h.text and not r.held where h.held group by 1) select copies, count(*) held_records from m group by 1")
+def overlap_histogram(spark, sf):
+    """Held-out records by their number of train copies."""
+    return exact_overlap_members(spark, sf).groupBy(F.col("train_copies").alias("copies")).agg(F.count("*").alias("held_records"))
+
+
+@query(f"with {_HELD}, m as (select distinct h.record_id from t h join t r on r.token_sha = h.token_sha and r.text = h.text and not r.held where h.held) select source_shard, count(*) held_records, count(m.record_id) matched, round(100.0 * count(m.record_id) / count(*), 6) percent from t left join m using (record_id) where held group by 1")
+def overlap_by_shard(spark, sf):
+    """Held-out records of each shard, and those with a train copy."""
+    t, train = _contents(spark, sf)
+    rows = t.where("held").join(train, ["token_sha", "n", "text"], "left")
+    return rows.groupBy("source_shard").agg(F.count("*").alias("held_records"), F.count("train_rows").alias("matched"), F.round(100.0 * F.count("train_rows") / F.count("*"), 6).alias("percent"))
 
 
 @query("""
@@ -145,47 +195,96 @@ def norm_exact(spark, sf):
     return d.where("r").join(known, ["h", "b"]).select("doc_id", "reference_id")
 
 
-_SETS = f"{Q.DOCS}, {Q.grams(5)}, s as (select distinct doc_id, source, gram from g), z as (select doc_id, count(*) m from s group by 1), w as (select doc_id, len(ws) n from docs)"
-_PAIRS = "c as (select x.doc_id a, y.doc_id b, count(*) shared from s x join s y on x.gram = y.gram where {where} group by 1, 2), p as (select a, b, shared, zx.m ma, zy.m mb, wx.n na, wy.n nb from c join z zx on zx.doc_id = a join z zy on zy.doc_id = b join w wx on wx.doc_id = a join w wy on wy.doc_id = b)"
+
+
+def _docs_sql(keep: str = "") -> str:
+    return f"docs as (select * from (select *, {RES} res, array_to_string(ws, ' ') body from (select doc_id, source, text, {Q.tokens('text')} ws from documents where text is not null)) {keep})"
+
+
+_ALL, _REPS, _SIDES = _docs_sql(), _docs_sql("qualify min(doc_id) over (partition by body) = doc_id"), _docs_sql("qualify min(doc_id) over (partition by body, res) = doc_id")
+_SETS = f"{Q.grams(5)}, s as (select distinct g.doc_id, docs.res, gram from g join docs using (doc_id)), z as (select doc_id, count(*) m from s group by 1), w as (select doc_id, len(ws) n, res from docs)"
+
+
+def _pairs(where: str, name: str = "p") -> str:
+    return f"{name}c as (select x.doc_id a, y.doc_id b, count(*) shared from s x join s y on x.gram = y.gram where {where} group by 1, 2), {name} as (select a, b, shared, zx.m ma, zy.m mb, wx.n na, wy.n nb from {name}c join z zx on zx.doc_id = a join z zy on zy.doc_id = b join w wx on wx.doc_id = a join w wy on wy.doc_id = b)"
+
+
 _NEAR = "(shared / (ma + mb - shared) >= 0.8 or (shared / least(ma, mb) >= 0.8 and least(na, nb) >= 50 and shared >= 20))"
+_ACROSS, _WITHIN = "x.res and not y.res", "x.doc_id < y.doc_id"
+
+
+def _near(left: DataFrame, right: DataFrame, self_join: bool = False) -> DataFrame:
+    sets = lambda d: S.gram_sets(d, "id", "words", 5)
+    return S.near(S.overlap_pairs(sets(left), sets(right), 0.8, self_join, 50))
 
 
-@query(f"with {_SETS}, {_PAIRS.format(where=f'x.{RES} and not y.{RES}')} select a, b, shared / (ma + mb - shared) jaccard, shared / least(ma, mb) containment from p where {_NEAR}")
+@query(f"with {_SIDES}, {_SETS}, {_pairs(_ACROSS)} select a, b, shared / (ma + mb - shared) jaccard, shared / least(ma, mb) containment from p where {_NEAR}")
 def near_dup(spark, sf):
-    """Reserved documents near to historical ones."""
-    w = worded(spark, sf)
-    return S.near(S.overlap_pairs(S.gram_sets(w.where(reserved()), "id", "words", 5), S.gram_sets(w.where(~reserved()), "id", "words", 5), 0.8))
+    """Reserved contents near to historical ones: pairs of the first documents of each content on its
+    side; near_classes has the members."""
+    b = bodies(spark, sf)
+    return _near(representatives(b.where("reserved")), representatives(b.where("not reserved")))
+
+
+@query(f"with {_ALL} select doc_id id, min(doc_id) over (partition by body, res) class_id, res reserved from docs")
+def near_classes(spark, sf):
+    """The first document of each document's content on its side."""
+    b = bodies(spark, sf)
+    return memberships(b, "reserved").join(b.select("id", "reserved"), "id").select("id", "class_id", "reserved")
+
 
+@query(f"with {_ALL} select doc_id id, min(doc_id) over (partition by body) class_id from docs")
+def content_classes(spark, sf):
+    """The first document of each document's content."""
+    return memberships(bodies(spark, sf))
 
-@query(f"with {_SETS}, {_PAIRS.format(where='x.doc_id < y.doc_id')} select a, b, shared / (ma + mb - shared) jaccard, shared / least(ma, mb) containment from p where {_NEAR}")
+
+@query(f"with {_REPS}, {_SETS}, {_pairs(_WITHIN)} select a, b, shared / (ma + mb - shared) jaccard, shared / least(ma, mb) containment from p where {_NEAR}")
 def internal_edges(spark, sf):
-    """Near pairs within the corpus, each once."""
-    sets = materialize(S.gram_sets(worded(spark, sf), "id", "words", 5), "sets")
-    return S.near(S.overlap_pairs(sets, sets, 0.8, self_join=True))
+    """Near pairs of different contents within the corpus, each once, by their first documents."""
+    one = representatives(bodies(spark, sf))
+    return _near(one, one, True)
+
+
+def _template_sql(of: str) -> str:
+    """Runs of 13 words in many of the documents that `of` selects."""
+    return f"(select gram from g13 join docs using (doc_id) where {of} group by 1 having count(distinct doc_id) >= greatest({FLOOR}, ceil((select count(*) from docs where {of}) / 100)))"
 
 
-_PARTIAL = """t13 as (select gram from g13 group by 1 having count(distinct doc_id) >= greatest(5, ceil((select count(*) from docs) / 100))), v as (select g13.* from g13 join w using (doc_id) where n >= 50 and gram not in (select gram from t13)),
+def _partial_sql(of: str) -> str:
+    return f"""t13 as {_template_sql(of)}, v as (select g13.* from g13 join w using (doc_id) where n >= 50 and gram not in (select gram from t13)),
 vp as (select x.doc_id a, y.doc_id b, x.pos pa, y.pos pb from v x join v y on x.gram = y.gram where x.doc_id < y.doc_id), va as (select a, b, count(distinct place) n from (select a, b, unnest(range(pa, pa + 13)) place from vp) group by 1, 2), vb as (select a, b, count(distinct place) n from (select a, b, unnest(range(pb, pb + 13)) place from vp) group by 1, 2),
 pt as (select a, b from va join vb using (a, b) join w wa on wa.doc_id = a join w wb on wb.doc_id = b where va.n / wa.n >= 0.3 or vb.n / wb.n >= 0.3)"""
-_BODIES = "bd as (select doc_id, array_to_string(ws, ' ') body from docs), ex as (select x.doc_id a, y.doc_id b from bd x join bd y on x.body = y.body where x.doc_id < y.doc_id)"
 
 
-@query(f"with {_SETS}, {_PAIRS.format(where='x.doc_id < y.doc_id')}, {Q.grams(13, 'g13')}, {_PARTIAL}, {_BODIES} select a, b, 'near' reason, shared / (ma + mb - shared) jaccard, shared / least(ma, mb) containment from p where {_NEAR} union all select a, b, 'exact', 1, 1 from ex union all select a, b, 'partial', 0, 0 from pt")
-def content_edges(spark, sf):
-    """Exact, near and partial edges within the corpus; a pair has a row for each reason. internal_edges
-    has the near ones alone."""
-    w = materialize(worded(spark, sf), "words")
+_EX = f"ex as (select low a, doc_id b from (select doc_id, min(doc_id) over (partition by array_to_string({Q.tokens('text')}, ' ')) low from documents where text is not null) where low <> doc_id)"
+_CONTENT = f"{_REPS}, {_SETS}, {_pairs(_WITHIN)}, {Q.grams(13, 'g13')}, {_partial_sql('true')}, {_EX}, ce as (select a, b, 'near' reason, shared / (ma + mb - shared) jaccard, shared / least(ma, mb) containment from p where {_NEAR} union all select a, b, 'exact', 1, 1 from ex union all select a, b, 'partial', 0, 0 from pt)"
+
+
+def _edges(b: DataFrame) -> DataFrame:
+    """Exact, near and partial edges within the contents of b."""
+    one = materialize(representatives(b).select("id", "words"), "contents")
     named = lambda pairs, reason, value: pairs.select("a", "b", F.lit(reason).alias("reason"), F.lit(value).alias("jaccard"), F.lit(value).alias("containment"))
-    body = materialize(w.select("id", F.array_join("words", " ").alias("body")).select("id", F.xxhash64("body").alias("h"), F.sha2("body", 256).alias("k")), "bodies")
-    exact = body.toDF("a", "h", "k").join(body.toDF("b", "h", "k"), ["h", "k"]).where("a < b")
-    near = internal_edges(spark, sf).select("a", "b", F.lit("near").alias("reason"), "jaccard", "containment")
-    partial = S.partial_pairs(w.select("id", "words"), drop=templates(w, 5).select("gram"))
+    exact = memberships(b).where("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b"))
+    near = _near(one, one, True).select("a", "b", F.lit("near").alias("reason"), "jaccard", "containment")
+    partial = S.partial_pairs(one, drop=S.template_keys(one, 13, FLOOR))
     return near.unionByName(named(exact, "exact", 1.0)).unionByName(named(partial, "partial", 0.0))
 
 
-@query(None)
+@query(f"with {_CONTENT} select * from ce")
+def content_edges(spark, sf):
+    """Edges within the corpus: exact ones from each content's first document to the others, near and partial
+    ones between first documents. Partial: either text's words lie for 30 % in runs of 13 that both have."""
+    return _edges(bodies(spark, sf))
+
+
+def _components_sql(edges: str) -> str:
+    return f"u as (select a, b from {edges} union all select b, a from {edges}), r as (select a node, a root from u union select u.b, r.root from r join u on u.a = r.node), m as (select node, min(root) component from r group by 1)"
+
+
+@query(f"with recursive {_CONTENT}, {_components_sql('ce')} select * from m")
 def content_groups(spark, sf):
-    """Content groups as in the reference: components of the exact, near and partial edges."""
+    """Content groups: components of the exact, near and partial edges."""
     return connected_components(content_edges(spark, sf))
 
 
@@ -195,61 +294,113 @@ _COVER = "h as (select r.doc_id, unnest(range(r.pos, r.pos + 13)) place from r w
 @query(f"with {Q.DOCS}, {Q.grams(13)}, r as (select * from g where {RES}), q as (select gram from g where not {RES}), {_COVER} select doc_id id, coalesce(covered, 0) covered, len(ws) words_n from docs left join c using (doc_id) where {RES}")
 def coverage13(spark, sf):
     """Words of reserved documents inside runs of 13 words that historical documents have."""
-    w = worded(spark, sf)
+    w = materialize(worded(spark, sf), "words")
     return S.coverage(w.where(reserved()), w.where(~reserved()), 13)
 
 
-@query(f"with {Q.DOCS}, {Q.grams(13)} select gram, count(distinct doc_id) df from g group by 1 having count(distinct doc_id) >= greatest(5, ceil((select count(*) from docs) / 100))")
+@query(f"with {Q.DOCS}, {Q.grams(13)} select gram, count(distinct doc_id) df from g where {RES} group by 1 having count(distinct doc_id) >= greatest({FLOOR}, ceil((select count(*) from docs where {RES}) / 100))")
 def template_grams(spark, sf):
-    """Runs of 13 words in many documents. The floor of 100 documents is a parameter (5 here, for small tables)."""
-    return templates(worded(spark, sf), 5)
-
-
-def templates(w: DataFrame, floor: int) -> DataFrame:
-    least = max(floor, -(-w.count() // 100))
-    df = S.gram_rows(w, "id", "words", 13).select("id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
-    return df.where(F.col("df") >= least)
+    """Runs of 13 words in many reserved documents (the candidates). The floor is a parameter."""
+    w = materialize(worded(spark, sf).where(reserved()), "words")
+    keys = S.template_keys(w, 13, FLOOR)
+    rows = S.run_rows(w, "id", "words", 13).join(keys, ["h", "i"])
+    first = rows.groupBy("h", "i").agg(F.min(F.struct("id", "pos")).alias("x"), F.max("df").alias("df")).select("x.*", "df")  # one place of each to read its words
+    return first.join(w, "id").select(F.array_join(F.slice("words", F.col("pos"), F.lit(13)), " ").alias("gram"), "df")
 
 
-@query(f"""with {Q.DOCS}, {Q.grams(13)}, t as (select gram from g group by 1 having count(distinct doc_id) >= greatest(5, ceil((select count(*) from docs) / 100))), r as (select * from g where {RES} and gram not in (select gram from t)), q as (select gram from g where not {RES}), {_COVER}
+@query(f"""with {Q.DOCS}, {Q.grams(13)}, t as (select gram from g where {RES} group by 1 having count(distinct doc_id) >= greatest({FLOOR}, ceil((select count(*) from docs where {RES}) / 100))), r as (select * from g where {RES} and gram not in (select gram from t)), q as (select gram from g where not {RES}), {_COVER}
 select doc_id id, coalesce(covered, 0) covered, len(ws) words_n from docs left join c using (doc_id) where {RES}""")
 def masked_coverage(spark, sf):
     """coverage13 without template runs."""
-    w = worded(spark, sf)
-    return S.coverage(w.where(reserved()), w.where(~reserved()), 13, templates(w, 5).select("gram"))
+    return _masked(materialize(worded(spark, sf), "words"))
 
 
-@query(f"with {_SETS}, {_PAIRS.format(where=f'x.{RES} and not y.{RES}')}, o as (select a, b, shared / (ma + mb - shared) j, case when least(na, nb) >= 50 and shared >= 20 then shared / least(ma, mb) end c from p where shared / least(ma, mb) >= 0.5) select a id, max(j) max_jaccard, arg_max(b, (j, -b)) jaccard_source, max(c) max_containment from o group by 1")
-def nearest_ref(spark, sf):
-    """Nearest reference of each document, among those that share half of the smaller set; the smallest source wins a tie."""
-    w = worded(spark, sf)
-    p = S.overlap_pairs(S.gram_sets(w.where(reserved()), "id", "words", 5), S.gram_sets(w.where(~reserved()), "id", "words", 5), 0.5)
-    p = p.select("a", "b", S.jaccard().alias("j"), F.when((F.least("na", "nb") >= 50) & (F.col("shared") >= 20), S.containment()).alias("c"))
-    return p.groupBy(F.col("a").alias("id")).agg(F.max("j").alias("max_jaccard"), F.max_by("b", F.struct("j", -F.col("b"))).alias("jaccard_source"), F.max("c").alias("max_containment"))
+def _masked(w: DataFrame) -> DataFrame:
+    return S.coverage(w.where(reserved()), w.where(~reserved()), 13, S.template_keys(w.where(reserved()), 13, FLOOR))
 
 
-@query(f"""with {_SETS}, {_PAIRS.format(where=f'x.{RES} and not y.{RES}')}, o as (select a, max(shared / (ma + mb - shared)) j from p where shared / least(ma, mb) >= 0.5 group by 1)
-select count_if(j >= 0.8)::bigint near_80, count_if(j >= 0.7)::bigint near_70, count_if(j >= 0.6)::bigint near_60, max(j) max_jaccard, count(*) with_match from o""")
-def threshold_table(spark, sf):
-    n = nearest_ref(spark, sf)
-    return n.agg(*(F.count_if(F.col("max_jaccard") >= t / 100).alias(f"near_{t}") for t in (80, 70, 60)), F.max("max_jaccard").alias("max_jaccard"), F.count("*").alias("with_match"))
+_NEAREST = f"""{_ALL}, {_SETS}, {_pairs(_ACROSS)}, {Q.grams(13, 'g13')}, o as (select a, b, shared / (ma + mb - shared) j, case when least(na, nb) >= 50 and shared >= 20 then shared / least(ma, mb) end c from p),
+k as (select distinct x.doc_id a, y.doc_id b, unnest(range(x.pos, x.pos + 13)) place from g13 x join g13 y on x.gram = y.gram join docs dx on dx.doc_id = x.doc_id join docs dy on dy.doc_id = y.doc_id where dx.res and not dy.res),
+cv as (select a, b, count(*) / any_value(n) v from k join w on w.doc_id = a group by 1, 2), uc as (select a, count(distinct place) / any_value(n) v from k join w on w.doc_id = a group by 1),
+n1 as (select a, max(j) max_jaccard, arg_max(b, (j, -b)) jaccard_source, max(c) max_containment, arg_max(b, (c, -b)) filter (c is not null) containment_source from o group by 1), n2 as (select a, max(v) max_coverage, arg_max(b, (v, -b)) coverage_source from cv group by 1),
+nr as (select doc_id id, coalesce(max_jaccard, 0) max_jaccard, jaccard_source, coalesce(max_containment, 0) max_containment, containment_source, coalesce(max_coverage, 0) max_coverage, coverage_source, coalesce(uc.v, 0) union_coverage from docs left join n1 on n1.a = doc_id left join n2 on n2.a = doc_id left join uc on uc.a = doc_id where res)"""
 
 
-@query(f"""with recursive {_SETS}, {_PAIRS.format(where='x.doc_id < y.doc_id')}, e as (select a, b from p where {_NEAR}), u as (select a, b from e union all select b, a from e), r as (select a node, a root from u union select u.b, r.root from r join u on u.a = r.node)
-select node, min(root) component from r group by 1""")
+@query(f"with {_NEAREST} select * from nr")
+def nearest_ref(spark, sf):
+    """For every reserved document the best over all historical ones that share anything: similarity,
+    containment (of pairs long enough), share of its words in runs of 13 that one has, each with its source
+    (the smallest of equals), and the share in runs that any has. 0 and no source where there is none.
+    Computed for contents and given to each member."""
+    b = bodies(spark, sf)
+    left, right = representatives(b.where("reserved")), representatives(b.where("not reserved"))
+    sets = lambda d: materialize(S.gram_sets(d, "id", "words", 5), "sets")
+    p = S.shared_counts(sets(left), sets(right))
+    j = F.col("shared") / (F.col("ma") + F.col("mb") - F.col("shared"))
+    c = F.when((F.least("na", "nb") >= 50) & (F.col("shared") >= 20), F.col("shared") / F.least("ma", "mb"))
+    best = lambda v, name, source: [F.max(v).alias(name), F.max_by(F.when(v.isNotNull(), F.col("b")), F.struct(v, -F.col("b"))).alias(source)]
+    n1 = p.select("a", "b", j.alias("j"), c.alias("c")).groupBy("a").agg(*best(F.col("j"), "max_jaccard", "jaccard_source"), *best(F.col("c"), "max_containment", "containment_source"))
+    v = S.pair_coverage(left.select("id", "words"), right.select("id", "words"), 13).select("a", "b", (F.col("ca") / F.col("na")).alias("v"))
+    n2 = v.groupBy("a").agg(*best(F.col("v"), "max_coverage", "coverage_source"))
+    n3 = S.coverage(left.select("id", "words"), right.select("id", "words"), 13).select(F.col("id").alias("a"), F.coalesce(F.try_divide("covered", "words_n"), F.lit(0.0)).alias("union_coverage"))
+    told = n3.join(n1, "a", "left").join(n2, "a", "left").withColumnRenamed("a", "class_id")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return memberships(b.where("reserved")).join(told, "class_id").select("id", zero("max_jaccard"), "jaccard_source", zero("max_containment"), "containment_source", zero("max_coverage"), "coverage_source", "union_coverage")
+
+
+_AT = (80, 70, 60)
+_TABLED = ", ".join([f"count_if(max_jaccard >= {t / 100} or max_containment >= {t / 100})::bigint near_{t}" for t in _AT] + ["count_if(union_coverage >= 0.3)::bigint coverage_30", "count_if(union_coverage > 0)::bigint any_shared", "max(max_jaccard) max_jaccard", "max(max_containment) max_containment", "max(union_coverage) max_coverage", "count(*) documents"])
+
+
+@query(f"with {_NEAREST}, su as (select *, row_number() over (order by sha256(id::varchar), id) <= 100 chosen from nr) select 'all' profile, {_TABLED} from su union all select 'subset', {_TABLED} from su where chosen")
+def threshold_table(spark, sf):
+    """How many reserved documents reach each threshold of similarity or containment, and of coverage, and the
+    greatest values: of all, and of the first 100 by hash."""
+    n = materialize(nearest_ref(spark, sf), "nearest")
+    some = n.orderBy(F.sha2(F.col("id").cast("string"), 256), "id").limit(100)
+    tabled = [
+        *(F.count_if((F.col("max_jaccard") >= t / 100) | (F.col("max_containment") >= t / 100)).alias(f"near_{t}") for t in _AT), F.count_if(F.col("union_coverage") >= 0.3).alias("coverage_30"), F.count_if(F.col("union_coverage") > 0).alias("any_shared"),
+        F.max("max_jaccard").alias("max_jaccard"), F.max("max_containment").alias("max_containment"), F.max("union_coverage").alias("max_coverage"), F.count("*").alias("documents"),
+    ]
+    return n.agg(F.lit("all").alias("profile"), *tabled).unionByName(some.agg(F.lit("subset").alias("profile"), *tabled))
+
+
+@query(f"with recursive {_REPS}, {_SETS}, {_pairs(_WITHIN)}, e as (select a, b from p where {_NEAR}), {_components_sql('e')} select * from m")
 def components(spark, sf):
-    """Content groups: components of the near pairs."""
+    """Components of the near pairs of contents, by their first documents."""
     return connected_components(internal_edges(spark, sf))
 
 
-@query(f"""with recursive {_SETS}, {_PAIRS.format(where='x.doc_id < y.doc_id')}, e as (select a, b from p where {_NEAR}), u as (select a, b from e union all select b, a from e), r as (select a node, a root from u union select u.b, r.root from r join u on u.a = r.node), m as (select node, min(root) component from r group by 1),
-x as (select doc_id node, 'too_short_for_overlap_audit' reason from w where n < 10 union all select doc_id, 'foreign' from documents where lang in ('de', 'fr', 'es')), i as (select component, list_sort(list(distinct reason)) rs, count(distinct node) n from m left join x using (node) group by 1)
+@query(f"""with recursive {_ALL}, {_SETS}, {_pairs(_ACROSS)}, {_pairs('x.doc_id < y.doc_id and x.res and y.res', 'pi')}, {Q.grams(13, 'g13a')}, g13 as (select g13a.* from g13a join docs using (doc_id) where res), {_partial_sql('res')},
+e as (select a, b from pi where {_NEAR} union all select a, b from pt union all select x.doc_id, y.doc_id from docs x join docs y on x.body = y.body and x.res and y.res and x.doc_id < y.doc_id), eo as (select * from e union all select doc_id, doc_id from docs where res), {_components_sql('eo')},
+r13 as (select * from g13 where gram not in (select gram from t13)), h13 as (select r13.doc_id, unnest(range(r13.pos, r13.pos + 13)) place from r13 where gram in (select gram from g13a join docs using (doc_id) where not res)), c13 as (select doc_id, count(distinct place) covered from h13 group by 1),
+x1 as (select x.doc_id node from docs x where x.res and x.body <> '' and x.body in (select body from docs where not res)), x2 as (select distinct a node from p where {_NEAR}),
+x as (select node, 'normalized_reference_exact' reason from x1 union all select node, 'reference_near_duplicate' from x2 union all select doc_id, 'too_short_for_overlap_audit' from w where n < 10 and res
+union all select doc_id, 'reference_local_coverage_ge_30pct' from c13 join w using (doc_id) where covered / n >= 0.3 and doc_id not in (select node from x1) and doc_id not in (select node from x2)
+union all select doc_id, 'actual_array_exact' from documents where text is not null and {RES} and {Q.content_key('text')} in (select {Q.content_key('text')} from documents where text is not null and not {RES})),
+i as (select component, list_sort(list(distinct reason)) rs, count(distinct node) n from m left join x using (node) group by 1)
 select node, component, list_filter(list_concat(coalesce(list_filter(rs, lambda v: v is not null), []), [case when n > 100 then 'large_content_group_requires_review' end, case when node <> component then 'content_group_nonrepresentative' end]), lambda v: v is not null) reasons, len(reasons) = 0 eligible from m join i using (component)""")
 def group_decision(spark, sf):
-    """Reasons spread over content groups; one clean representative is eligible."""
-    short = worded(spark, sf).where(F.size("words") < 10).select(F.col("id").alias("node"), F.lit("too_short_for_overlap_audit").alias("reason"))
-    foreign = docs(spark, sf).where("lang in ('de', 'fr', 'es')").select(F.col("doc_id").alias("node"), F.lit("foreign").alias("reason"))
-    return dedup.decisions(components(spark, sf), short.unionByName(foreign))
+    """Which reserved documents may be taken: reasons of overlap with historical documents (an equal body,
+    a near one, 30 % of the words in runs that one has and neither of the two, an equal text), or being too
+    short, spread over content groups; one clean representative is eligible."""
+    b = bodies(spark, sf)
+    mine, theirs = b.where("reserved"), b.where("not reserved")
+    one, other = materialize(representatives(mine), "contents"), materialize(representatives(theirs), "references")
+    groups = connected_components(_edges(mine))
+    members = mine.select(F.col("id").alias("node")).join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    exact = one.where("size(words) > 0").join(other.select("key"), "key", "left_semi").select("id")
+    near = materialize(_near(one, other).select(F.col("a").alias("id")).distinct(), "near")
+    covered = _masked(b.select("id", "source", "words")).where("try_divide(covered, words_n) >= 0.3").select("id").join(memberships(mine), "id").select(F.col("class_id").alias("id")).distinct()
+    covered = covered.join(exact, "id", "left_anti").join(near, "id", "left_anti")
+    k = _keyed(spark, sf)
+    strict = k.where("reserved").join(k.where("not reserved").select("key").distinct(), "key", "left_semi").select(F.col("doc_id").alias("id"))
+    said = [(exact, "normalized_reference_exact"), (near, "reference_near_duplicate"), (one.where("size(words) < 10").select("id"), "too_short_for_overlap_audit"), (covered, "reference_local_coverage_ge_30pct"), (strict, "actual_array_exact")]
+    reasons = None
+    for rows, reason in said:
+        own = rows.select(F.col("id").alias("node"), F.lit(reason).alias("reason"))
+        reasons = own if reasons is None else reasons.unionByName(own)
+    return dedup.decisions(members, reasons)
 
 
 @query(None)

@@ -46,6 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a table of one file is else one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def filesystem(spark: SparkSession, path: str):
     """The Hadoop file system of a path, and the path as it knows it."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
