@@ -319,9 +319,15 @@ def test_choices(spark):
 
 
 def test_bootstrap_holds_the_value(spark):
-    b = spark.createDataFrame([("r", i, float(i % 4 == 0), 1.0) for i in range(400)], "run string, id int, num double, den double")
-    r = metrics.bootstrap(b, ["run"], ["id"], "num", "den", samples=300).first()
-    assert r.value == 0.25 and r.low < 0.25 < r.high and 0.05 < r.high - r.low < 0.12
+    b = spark.createDataFrame([("r", t, float(i % 4 == 0), 1.0) for t in ("x", "y") for i in range(400)], "run string, task string, num double, den double")
+    got = {(r.task, r.metric): r for r in metrics.bootstrap(b, ["run", "task"], ["num", "den"], {"rate": lambda s: s["num"] / s["den"], "sum": lambda s: s["num"]}, samples=2000, macro="task").collect()}
+    for task in ("x", "y", "_"):
+        r = got[task, "rate"]
+        assert r.value == 0.25 and r.low < 0.25 < r.high and 0.05 < r.high - r.low < 0.12
+    assert got["_", "rate"].high - got["_", "rate"].low < got["x", "rate"].high - got["x", "rate"].low and got["x", "sum"].value == 100
+    again = metrics.bootstrap(b.repartition(7), ["run", "task"], ["num", "den"], {"rate": lambda s: s["num"] / s["den"]}, samples=2000).where("task = 'x'").first()
+    assert (again.low, again.high) == (got["x", "rate"].low, got["x", "rate"].high)
+    assert metrics.bootstrap(b.limit(0), ["run", "task"], ["num", "den"], {"rate": lambda s: s["num"] / s["den"]}, samples=5).collect() == []
 
 
 @pytest.mark.parametrize("limit", [1, 4, 7])
