@@ -14,6 +14,8 @@ from corpusmill.functions.words import BRACKETS
 
 #: White space as Python sees it, for a character class.
 SPACE = r"\t-\r\x1c-\x20\x{85}\p{Z}"
+#: Fixed value: the leaf that stands for a line end in parses.
+NEWLINE = "Ċ"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_" + SPACE + "]"
 
 
@@ -25,13 +27,13 @@ def nfc(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def folded(text: pd.Series) -> pd.Series:
-    """NFKC, bracket escapes as brackets, case folded: the exact profile of body()."""
+    """NFKC, bracket escapes and the line-end leaf as what they stand for, case folded: the exact profile of body()."""
 
     def one(t: str | None) -> str | None:
         if t is None:
             return None
         t = unicodedata.normalize("NFKC", t)
-        for escape, mark in BRACKETS.items():
+        for escape, mark in {**BRACKETS, NEWLINE: "\n"}.items():
             t = t.replace(escape, mark)
         return t.casefold()
 

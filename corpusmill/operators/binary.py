@@ -90,3 +90,67 @@ def shuffled_markers(df: DataFrame, id: str, tree: str, seed: int = 0) -> DataFr
 
     key = df.schema[id].dataType.simpleString()
     return df.select(id, tree).mapInArrow(_lists(one, pa.list_(pa.string())), f"`{id}` {key}, tree array<string>")
+
+
+def undoubled(df: DataFrame, id: str, tree: str) -> DataFrame:
+    """(id, tree): the array before every closing marker was doubled; null where a closing marker has no
+    equal neighbour to go with."""
+
+    def one(t: list[str]) -> list[str] | None:
+        out, k = [], 0
+        while k < len(t):
+            out.append(t[k])
+            if _is_close(t[k]):
+                if k + 1 >= len(t) or t[k + 1] != t[k]:
+                    return None
+                k += 1
+            k += 1
+        return out
+
+    key = df.schema[id].dataType.simpleString()
+    return df.select(id, tree).mapInArrow(_lists(one, pa.list_(pa.string())), f"`{id}` {key}, tree array<string>")
+
+
+def without_inner(df: DataFrame, id: str, tree: str, mark: str = "</s>") -> DataFrame:
+    """(id, tree): marks taken out where brackets are open; those between trees stay."""
+
+    def one(t: list[str]) -> list[str]:
+        depth, out = 0, []
+        for x in t:
+            depth += _is_open(x) - _is_close(x)
+            if x != mark or depth <= 0:
+                out.append(x)
+        return out
+
+    key = df.schema[id].dataType.simpleString()
+    return df.select(id, tree).mapInArrow(_lists(one, pa.list_(pa.string())), f"`{id}` {key}, tree array<string>")
+
+
+def grafted(tree: list[str], leaves: list[str], put: list[str]) -> list[str] | None:
+    """The tree with the smallest phrase whose leaves are `leaves` replaced by `put`; the first of equals.
+    Null where no phrase has just these leaves."""
+    stack, best = [], None
+    words: list[str] = []
+    for k, t in enumerate(tree):
+        if _is_open(t):
+            stack.append((k, len(words)))
+        elif _is_close(t):
+            if stack:
+                start, at = stack.pop()
+                if words[at:] == leaves and (best is None or k - start < best[1] - best[0]):
+                    best = (start, k)
+        else:
+            words.append(t)
+    return None if best is None or not leaves else tree[: best[0]] + put + tree[best[1] + 1 :]
+
+
+def graft(df: DataFrame, id: str, tree: str, leaves: str, put: str) -> DataFrame:
+    """(id, tree): grafted() of each row; null arrays give null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if None in r else grafted(*r) for r in rows], pa.list_(pa.string()))], ["id", "tree"])
+
+    key = df.schema[id].dataType.simpleString()
+    return df.select(id, tree, leaves, put).mapInArrow(run, f"`{id}` {key}, tree array<string>")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import let
 from corpusmill.operators.ordered import running, with_previous
 
 BOS, EOS = 50257, 50256
@@ -38,9 +42,13 @@ def segments(tokens: DataFrame, by: str, pos: str, tok: str, bos: int = BOS, eos
 
 
 def ends(tokens: DataFrame, by: str, pos: str, tok: str, eos: int = EOS) -> DataFrame:
-    """(by, start, stop) of each document that an eos ends."""
+    """(by, start, stop, valid) of each document that an eos ends; what is left after the last one of a
+    stream is a row that isn't valid."""
     e = tokens.where(F.col(tok) == eos).select(by, (F.col(pos) + 1).alias("stop"))
-    return with_previous(e, ["stop"], "stop", "start", [by]).withColumn("start", F.coalesce("start", F.lit(0)))
+    told = with_previous(e, ["stop"], "stop", "start", [by]).select(by, F.coalesce("start", F.lit(0)).alias("start"), "stop", F.lit(True).alias("valid"))
+    last = tokens.groupBy(by).agg((F.max(pos) + 1).alias("stop"), F.max(F.when(F.col(tok) == eos, F.col(pos) + 1)).alias("start"))
+    rest = last.select(by, F.coalesce("start", F.lit(0)).alias("start"), "stop", F.lit(False).alias("valid")).where("start < stop")
+    return told.unionByName(rest)
 
 
 def chunk_lengths(bounds: DataFrame, by: str, start: str, stop: str, size: int) -> DataFrame:
@@ -82,3 +90,44 @@ def patches(df: DataFrame, id: str, text: str, table: dict[str, str]) -> DataFra
     new = F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.col("old"))
     width = len(next(iter(table)))
     return rows.select(id, (lengths + F.col("k") * width).alias("at"), "old", new.alias("new"), ((F.col("k") + 1) * (1 - width)).alias("shift"))
+
+
+def replayed(text: Column, patches: Column, forward: bool = True) -> Column:
+    """A text with its patches applied, or, if it is a patched one, taken back. patches: array of (at, old,
+    new) in order of place, at in the old text. Pieces between them are joined once."""
+
+    def at(x: Column, k: Column) -> Column:  # in the text at hand: each patch before moved it
+        moved = F.aggregate(F.slice(patches, F.lit(1), k), F.lit(0), lambda a, y: a + F.length(y["new"]) - F.length(y["old"]))
+        return x["at"] if forward else x["at"] + moved
+
+    seen, put = ("old", "new") if forward else ("new", "old")
+    cuts = F.transform(patches, lambda x, k: F.struct(at(x, k).alias("a"), (at(x, k) + F.length(x[seen])).alias("z"), x[put].alias("put")))
+
+    def joined(c: Column) -> Column:
+        pieces = F.transform(c, lambda x, k: F.concat(F.substring(text, F.coalesce(F.get(c, k - 1)["z"], F.lit(0)) + 1, x["a"] - F.coalesce(F.get(c, k - 1)["z"], F.lit(0))), x["put"]))
+        tail = F.substring(text, F.coalesce(F.get(c, F.size(c) - 1)["z"], F.lit(0)) + 1, F.length(text))
+        return F.concat(F.array_join(pieces, ""), tail)
+
+    return let(cuts, joined)
+
+
+def translated(df: DataFrame, id: str, text: str, table: dict[str, str], mark: str = "\n") -> DataFrame:
+    """(id, old_at, new_at): the place after every `mark` of a text, before and after the replacements. Each
+    text is read once; places are found in the sorted patches. Null texts have none."""
+    pattern = re.compile("|".join(map(re.escape, table)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, olds, news = [], [], []
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                if t is None:
+                    continue
+                found = [(m.end(), len(table[m[0]]) - len(m[0])) for m in pattern.finditer(t)]
+                places = np.array([m.end() for m in re.finditer(re.escape(mark), t)], np.int64)
+                shift = np.concatenate([[0], np.cumsum([d for _, d in found])]).astype(np.int64)
+                new = places + shift[np.searchsorted([e for e, _ in found], places, side="right")] if found else places
+                rows.append(np.full(len(places), k)), olds.append(places), news.append(new)
+            at = np.concatenate(rows) if rows else np.empty(0, int)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at.astype(np.int64))), *(pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in (olds, news))], ["id", "old_at", "new_at"])
+
+    return df.select(id, text).mapInArrow(run, f"`{id}` {df.schema[id].dataType.simpleString()}, old_at bigint, new_at bigint")

@@ -93,6 +93,29 @@ def pauses(items: Column, p: int, q: int, mark: str = "<pause>") -> Column:
     return F.flatten(F.transform(items, lambda t, i: F.concat(F.array(t), F.when((i + 1) % q == 0, F.array_repeat(F.lit(mark), p)).otherwise(F.array().cast("array<string>")))))
 
 
+def pause_mask(items: Column, p: int, q: int) -> Column:
+    """Which items of a paused array are pauses: the last p of every q + p."""
+    return F.transform(items, lambda t, i: i % (q + p) >= q)
+
+
+def unpaused(items: Column, p: int, q: int) -> Column:
+    """The array before pauses()."""
+    return F.filter(items, lambda t, i: i % (q + p) < q)
+
+
+def without_last_pauses(items: Column, mark: str = "<pause>") -> Column:
+    """Pauses at the end cut off."""
+    last = F.array_max(F.transform(items, lambda t, i: F.when(t != mark, i + 1).otherwise(0)))
+    return F.slice(items, 1, F.coalesce(last, F.lit(0)))
+
+
+def frame_error(items: Column, bos: str = "<s>", eos: str = "</s>") -> Column:
+    """What is wrong with an array's markers: one of them inside, twice at an end, or nothing (null)."""
+    n = F.size(items)
+    inner = F.filter(items, lambda t, i: ((t == bos) & (i > 0)) | ((t == eos) & (i < n - 1)))
+    return F.when(F.size(inner) > 0, F.concat(F.lit("misplaced "), F.get(inner, F.lit(0))))
+
+
 def framed(items: Column, bos: str = "<s>", eos: str = "</s>") -> Column:
     """bos first and eos last, once each; null where either stands elsewhere."""
     core = F.filter(items, lambda t, i: ~(((i == 0) & (t == bos)) | ((i == F.size(items) - 1) & (t == eos))))
@@ -100,13 +123,19 @@ def framed(items: Column, bos: str = "<s>", eos: str = "</s>") -> Column:
 
 
 def spans(parses: DataFrame, id: str = "parse_id", parsed: str = "parsed") -> DataFrame:
-    """(id, label, l, r): the leaves that each phrase covers, l to r with both, from 0."""
+    """(id, label, l, s, r): the leaves that each phrase covers, l to r with both, from 0; s is where its
+    first part ends, a phrase or a leaf (r for a phrase of one part). One pass: the rows of a phrase are
+    those of its own level between its brackets, and they are grouped by where it opens."""
     rows = typed(events(parses, id, parsed), id)
     w = Window.partitionBy(id).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("leaves", F.sum(F.when(F.col("step") == 0, 1).otherwise(0)).over(w))
-    o = rows.where("step = 1 and not next_leaf").select(id, F.col("i").alias("open_at"), F.col("leaves").alias("l"), "label")
-    c = rows.where("step = -1 and not prev_leaf").select(id, "open_at", (F.col("leaves") - 1).alias("r"))
-    return o.join(c, [id, "open_at"]).where("r >= l").select(id, "label", "l", "r")
+    own = rows.where("step <> 0")
+    own = own.withColumn("pre", F.when(F.col("step") == 1, F.col("next_leaf")).otherwise(F.col("prev_leaf")))
+    opened = own.groupBy(id, "open_at").agg(F.min(F.when(F.col("step") == 1, F.col("leaves"))).alias("l"), F.max(F.when(F.col("step") == -1, F.col("leaves") - 1)).alias("r"), F.max("level").alias("level"), F.min("label").alias("label"), F.max("pre").alias("pre"))
+    # the first part of a phrase is the first span of the next level that begins at its left end
+    firsts = opened.where("r >= l").select(id, (F.col("level") - 1).alias("level"), "l", "r").groupBy(id, "level", "l").agg(F.max("r").alias("s"))
+    kept = opened.where("not pre and r >= l").select(id, "label", "l", "r", "level")
+    return kept.join(firsts, [id, "level", "l"], "left").select(id, "label", "l", F.coalesce("s", F.col("r")).alias("s"), "r")
 
 
 def typed_balance(df: DataFrame, id: str = "parse_id", tree: str = "tree") -> DataFrame:

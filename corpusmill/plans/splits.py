@@ -229,19 +229,9 @@ def anchor_lookup(spark, sf):
     return interval_join(a, r.select("source_shard", "record_id", "start_tok", "end_tok"), ["source_shard"], "anchor", "start_tok", "end_tok").select("source_shard", "ordinal", "anchor", "record_id")
 
 
-@query("with e as (select source_shard, start_tok, end_tok from records), x as (select source_shard, unnest(range(0, (select max(ordinal) from records) * 50, 500)) pos from (select distinct source_shard from records)) select x.source_shard, x.pos, e.start_tok from x join e on x.source_shard = e.source_shard and x.pos >= e.start_tok and x.pos < e.end_tok")
-def interval_lookup(spark, sf):
-    """Which interval each grid position of a shard falls into."""
-    r = table(spark, sf, "records")
-    top = (r.agg(F.max("ordinal")).first()[0] or 0) * 50
-    x = r.select("source_shard").distinct().where(F.lit(top) > 0).select("source_shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(top - 1, 0)).cast("bigint"), F.lit(500).cast("bigint"))).alias("pos"))
-    return interval_join(x, r.select("source_shard", "start_tok", "end_tok"), ["source_shard"], "pos", "start_tok", "end_tok").select("source_shard", "pos", "start_tok")
-
-
 @query("with e as (select source_shard, start_tok, end_tok from records), t as (select source_shard, max(end_tok) top from e group by 1), x as (select source_shard, unnest(range(0, top, 500)) pos from t) select x.source_shard, x.pos, e.start_tok from x join e on x.source_shard = e.source_shard and x.pos >= e.start_tok and x.pos < e.end_tok")
-def interval_lookup_full(spark, sf):
-    """Which interval each grid position of a shard falls into, up to the shard's own last token;
-    interval_lookup ends all shards at 50 tokens a record."""
+def interval_lookup(spark, sf):
+    """Which interval each grid position of a shard falls into, up to the shard's own last token."""
     r = table(spark, sf, "records").select("source_shard", "start_tok", "end_tok")
     top = r.groupBy("source_shard").agg(F.max("end_tok").cast("bigint").alias("top")).where("top > 0")
     x = top.select("source_shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top") - 1, F.lit(500).cast("bigint"))).alias("pos"))
@@ -262,3 +252,103 @@ def stratified_anchors(spark, sf):
     a = a.withColumn("lo", F.expr("k * size div 8")).withColumn("hi", F.expr("(k + 1) * size div 8")).where("hi > lo")
     h = F.conv(F.substring(P.hash_order("anchor", F.col("source_shard"), F.col("k")), 1, 7), 16, 10).cast("bigint")
     return a.select("source_shard", "k", "lo", "hi", (F.col("lo") + h % (F.col("hi") - F.col("lo"))).alias("anchor"))
+
+
+@query("with s as (select source, count(*) n, min(source_row) low, max(source_row) high from documents group by 1) select source, split_part(source, '-', 3)::int // 4 shard_group, n, low, high from s")
+def shard_cover(spark, sf):
+    """Every shard with its group of four and the rows it covers: each is in one group."""
+    s = docs(spark, sf).groupBy("source").agg(F.count("*").alias("n"), F.min("source_row").alias("low"), F.max("source_row").alias("high"))
+    return s.select("source", F.floor(F.split_part("source", F.lit("-"), F.lit(3)).cast("int") / 4).alias("shard_group"), "n", "low", "high")
+
+
+@query("with s as (select distinct source_shard, source_row from split_items), k as (select source_shard, source_row from s union select source, source_row from documents union select source_shard, source_row from parses where source_shard is not null) select k.source_shard, k.source_row, exists(select 1 from s where s.source_shard = k.source_shard and s.source_row = k.source_row) selected, exists(select 1 from documents d where d.source = k.source_shard and d.source_row = k.source_row) in_documents, exists(select 1 from parses p where p.source_shard = k.source_shard and p.source_row = k.source_row) in_parses from k where k.source_shard is not null and k.source_row is not null")
+def selection_forms(spark, sf):
+    """The split index against both forms of a document, its text and its parse, by place."""
+    sides = {"selected": table(spark, sf, "split_items"), "in_documents": docs(spark, sf).select(F.col("source").alias("source_shard"), "source_row"), "in_parses": table(spark, sf, "parses")}
+    rows = None
+    for name, d in sides.items():
+        own = d.select("source_shard", "source_row", F.lit(name).alias("side")).where("source_shard is not null and source_row is not null")
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.groupBy("source_shard", "source_row").agg(*(F.bool_or(F.col("side") == name).alias(name) for name in sides))
+
+
+@query("with o as (select doc_id, source, source_row, row_number() over (partition by source order by sha256('sample:' || doc_id), doc_id) rn from documents) select doc_id, source, case when rn <= 2 then 'test' when rn <= 4 then 'dev' else 'train' end part, row_number() over (partition by case when rn <= 2 then 'test' when rn <= 4 then 'dev' else 'train' end order by source, case when rn <= 4 then rn else source_row end, doc_id) - 1 position from o")
+def split_lists(spark, sf):
+    """Every document in one of three lists, with its place there: test and dev in the order of the sample, which
+    isn't that of rows, train in the order of rows."""
+    d = ordered.numbered(docs(spark, sf).select("doc_id", "source", "source_row", P.hash_order("sample", F.col("doc_id")).alias("h")), ["h", "doc_id"], by=["source"])
+    d = d.withColumn("part", F.when(F.col("rn") <= 2, "test").when(F.col("rn") <= 4, "dev").otherwise("train")).withColumn("key", F.when(F.col("rn") <= 4, F.col("rn")).otherwise(F.col("source_row")))
+    return ordered.numbered(d.select("doc_id", "source", "part", "key"), ["source", "key", "doc_id"], "n", ["part"]).select("doc_id", "source", "part", (F.col("n") - 1).alias("position"))
+
+
+@query(f"with k as (select distinct {Q.content_key('passage')} key from eval_items where passage is not null) select d.doc_id, d.source from documents d where d.text is not null and {Q.content_key('d.text')} in (select key from k)")
+def keep_texts(spark, sf):
+    """Documents whose text is on a list of texts (the items' passages), by content."""
+    k = table(spark, sf, "eval_items").where("passage is not null").select(X.content_key(F.col("passage")).alias("key")).distinct()
+    return docs(spark, sf).where("text is not null").select("doc_id", "source", X.content_key(F.col("text")).alias("key")).join(k, "key", "left_semi").select("doc_id", "source")
+
+
+#: Tags by condition and region of an item: a small table of settings.
+REGIONS = {("question", 0): "ask", ("choice", 0): "first", ("choice", 1): "second", ("passage", 0): "ground"}
+_REGION_SQL = "(values " + ", ".join(f"('{c}', {r}, '{t}')" for (c, r), t in REGIONS.items()) + ") v(condition, region, tag)"
+
+
+@query(f"with r as (select item_id, 'question' condition, 0::bigint region, question content from eval_items union all select item_id, 'passage', 0, passage from eval_items union all select item_id, 'choice', unnest(range(len(choices))), unnest(choices) from eval_items where choices is not null), t as (select item_id, condition, region, len({Q.tokens('content')})::int tokens from r where content is not null and content <> '') select item_id, t.condition, t.region::int region, tokens, tag, tag is not null tagged from t left join {_REGION_SQL} on v.condition = t.condition and v.region = t.region")
+def region_tags(spark, sf):
+    """Parts of each item with their tokens, and the tag that condition and region have, if any."""
+    i = table(spark, sf, "eval_items")
+    one = lambda c: i.select("item_id", F.lit(c).alias("condition"), F.lit(0).alias("region"), F.col(c).alias("content"))
+    r = one("question").unionByName(one("passage")).unionByName(i.where("choices is not null").select("item_id", F.lit("choice").alias("condition"), F.posexplode("choices").alias("region", "content")))
+    tag = F.try_element_at(F.create_map(*(F.lit(x) for (c, k), t in REGIONS.items() for x in (f"{c}/{k}", t))), F.concat_ws("/", "condition", F.col("region").cast("string")))
+    return r.where("content is not null and content <> ''").select("item_id", "condition", "region", F.size(X.tokens(F.col("content"))).alias("tokens"), tag.alias("tag")).withColumn("tagged", F.col("tag").isNotNull())
+
+
+@query("with s as (select source, count(*) n from documents group by 1), c as (select source, n, least(n, 12) want, greatest(1, least(4, least(n, 12))) blocks from s), b as (select *, unnest(range(blocks)) k from c), e as (select source, n, k, want // blocks + (k < want % blocks)::int length, case when want = n then null else (k * n // blocks) end lo, ((k + 1) * n // blocks) hi, want, blocks from b), p as (select source, k, length, n, want, case when want = n then k * (want // blocks) + least(k, want % blocks) when hi - length <= lo then lo else lo + ('0x' || sha256('block:' || source || ':' || k)[1:7])::bigint % (hi - length - lo + 1) end start from e) select source, k::int k, start::bigint as start, (start + length)::bigint stop from p")
+def contiguous_blocks(spark, sf):
+    """Twelve rows of each shard in four blocks of neighbours, one at a place by hash in each equal stretch; all
+    rows of a shard that has no more."""
+    s = docs(spark, sf).groupBy("source").agg(F.count("*").alias("n")).withColumn("want", F.least("n", F.lit(12)))
+    b = s.withColumn("blocks", F.greatest(F.lit(1), F.least(F.lit(4), "want"))).withColumn("k", F.explode(F.expr("sequence(0L, blocks - 1L)")))
+    b = b.withColumns({"length": F.expr("want div blocks + if(k < want % blocks, 1, 0)"), "lo": F.expr("k * n div blocks"), "hi": F.expr("(k + 1) * n div blocks")})
+    h = F.conv(F.substring(P.hash_order("block", F.col("source"), F.col("k")), 1, 7), 16, 10).cast("bigint")
+    start = F.when(F.col("want") == F.col("n"), F.expr("k * (want div blocks) + least(k, want % blocks)")).when(F.col("hi") - F.col("length") <= F.col("lo"), F.col("lo")).otherwise(F.col("lo") + F.try_mod(h, F.col("hi") - F.col("length") - F.col("lo") + 1))
+    return b.select("source", F.col("k").cast("int").alias("k"), start.alias("start"), (start + F.col("length")).alias("stop"))
+
+
+@query("with o as (select doc_id, row_number() over (order by sha256('7:' || doc_id), doc_id) rn from documents), z as (select count(*) n, (count(*) + 7) // 8 * 8 whole from o), p as (select doc_id, rn from o union all select doc_id, rn + (select n from z) from o where rn <= (select whole - n from z)) select doc_id, rn, (rn - 1) % 8 rank_id, (rn - 1) // 8 step from p where rn > 100 and rn <= 500")
+def epoch_resumed(spark, sf):
+    """A shuffled epoch over 8 ranks, padded with its beginning to a multiple of them, taken up after the first
+    100 examples and ended at 500."""
+    d = docs(spark, sf).select("doc_id")
+    o = P.shuffled(d, "doc_id", "7").select("doc_id", "rn")
+    n = d.count()
+    p = o.unionByName(o.where(F.col("rn") <= (-n) % 8).select("doc_id", (F.col("rn") + n).alias("rn")))
+    return p.where("rn > 100 and rn <= 500").select("doc_id", "rn", P.ranks(F.col("rn"), 8).alias("rank_id"), F.floor((F.col("rn") - 1) / 8).alias("step"))
+
+
+@query("with r as (select record_id, split::int declared, case ('0x' || lower(text_sha)[14:16])::int % 2048 when 0 then 1 when 1 then 2 else 0 end expected from records where text_sha is not null and length(text_sha) = 64), d as (select declared, expected, count(*) n from r group by 1, 2) select declared, expected, n, coalesce(declared = expected, false) agrees from d")
+def split_check(spark, sf):
+    """Splits as declared against those that the contents' hashes say, as a reader would check them."""
+    r = table(spark, sf, "records").where("text_sha is not null and length(text_sha) = 64").select(F.col("split").cast("int").alias("declared"), P.hash_split(F.lower("text_sha")).alias("expected"))
+    return r.groupBy("declared", "expected").agg(F.count("*").alias("n")).withColumn("agrees", F.coalesce(F.col("declared") == F.col("expected"), F.lit(False)))
+
+
+@query("with n as (select source, count(*) planned, sha256(string_agg(coalesce(lower(text_sha), ''), ',' order by source_row, doc_id)) want from documents group by 1), d as (select source, count(*) done, sha256(string_agg(coalesce(lower(text_sha), ''), ',' order by source_row, doc_id)) got from documents where not (source >= 'crawl-shard-020' and source_row = 0) group by 1) select n.source, planned, coalesce(done, 0) done, coalesce(want = got, false) valid from n left join d using (source)")
+def resume_hashes(spark, sf):
+    """Receipts of shards (the later ones lost a row) against a digest of what they should hold; a receipt of another
+    digest isn't valid. A digest is of as many hashes as a shard has rows."""
+    def receipt(d, n, h):
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("source_row", "doc_id", F.coalesce(F.lower("text_sha"), F.lit("")).alias("h")))), lambda x: x["h"])
+        return d.groupBy("source").agg(F.count("*").alias(n), F.sha2(F.array_join(listed, ","), 256).alias(h))
+
+    d = docs(spark, sf).select("source", "source_row", "doc_id", "text_sha")
+    done = receipt(d.where("not (source >= 'crawl-shard-020' and source_row = 0)"), "done", "got")
+    return receipt(d, "planned", "want").join(done, "source", "left").select("source", "planned", F.coalesce("done", F.lit(0)).alias("done"), F.coalesce(F.col("want") == F.col("got"), F.lit(False)).alias("valid"))
+
+
+@query("with r as (select source, source_row, doc_id, row_number() over (order by source, source_row, doc_id) - 1 pos from documents where not exists (select 1 from split_items s where s.source_shard = source and s.source_row = documents.source_row)) select doc_id, source, source_row, pos from r")
+def train_map(spark, sf):
+    """Place in the train stream of each row that the split index doesn't hold out."""
+    s = table(spark, sf, "split_items").select(F.col("source_shard").alias("source"), "source_row").distinct()
+    d = docs(spark, sf).select("doc_id", "source", "source_row").join(s, ["source", "source_row"], "left_anti")
+    return ordered.numbered(d, ["source", "source_row", "doc_id"]).select("doc_id", "source", "source_row", (F.col("rn") - 1).alias("pos"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
@@ -10,7 +11,7 @@ from corpusmill.operators.rouge import lcs_f1
 from corpusmill.operators.splitting import split_sentences, split_words
 from corpusmill.plans import sql as Q
 from corpusmill.plans.registry import docs, query, table
-from corpusmill.sources.files import roundtrip
+from corpusmill.sources.files import decoded, publish, roundtrip, unpacked
 
 
 def _texts(spark, sf):
@@ -154,9 +155,38 @@ def segment_bos(spark, sf):
     return T.segments(_stream(spark, sf), "source", "pos", "tok")
 
 
-@query(f"with {_OFF} select source, stop - len(ids) as start, stop from o")
+@query(f"with {_OFF} select source, stop - len(ids) as start, stop, true valid from o")
 def segment_eos(spark, sf):
-    return T.ends(_stream(spark, sf), "source", "pos", "tok").select("source", "start", "stop")
+    """Documents found by their end marks."""
+    return T.ends(_stream(spark, sf), "source", "pos", "tok")
+
+
+@query(f"with {_OFF}, m as (select source, max(stop) top from o group by 1) select source, stop - len(ids) as start, stop - (stop = top)::int stop, stop < top valid from o join m using (source)")
+def segment_eos_open(spark, sf):
+    """segment_eos of streams whose last token is lost: the unfinished document isn't valid."""
+    x = _stream(spark, sf)
+    top = x.groupBy("source").agg(F.max("pos").alias("top"))
+    return T.ends(x.join(top, "source").where("pos < top").drop("top"), "source", "pos", "tok")
+
+
+@query(f"with {_OFF} select source, stop - len(ids) as start, stop, doc_id % 3 <> 0 valid from o")
+def segment_bos_damaged(spark, sf):
+    """segment_bos of streams in which every third document has an end mark for its second token, or in place of its
+    only one."""
+    o = T.offsets(_ids(spark, sf), "source", ["source_row", "doc_id"], F.size("ids") + 2)
+    x = T.stream(o, "source", "start", "ids").join(o.select("source", "start", "doc_id"), ["source", "start"])
+    hurt = (F.col("doc_id") % 3 == 0) & (F.col("i") == 1)
+    x = x.select("source", (F.col("start") + F.col("i")).alias("pos"), F.when(hurt, F.when(F.col("tok") == T.EOS, 7).otherwise(T.EOS)).otherwise(F.col("tok")).alias("tok"))
+    return T.segments(x, "source", "pos", "tok")
+
+
+@query(f"with {_OFF} select source, count(*) documents, min(stop - len(ids)) = 0 begins_at_0, max(stop)::bigint tokens, true whole from o group by 1")
+def stream_checks(spark, sf):
+    """From the markers alone: whether each stream begins with a document and its documents follow each other to its end."""
+    x = _stream(spark, sf)
+    top = x.groupBy("source").agg((F.max("pos") + 1).alias("top"))
+    s = T.segments(x, "source", "pos", "tok").where("valid").groupBy("source").agg(F.count("*").alias("documents"), F.min("start").alias("low"), F.max("stop").alias("tokens"), F.sum(F.col("stop") - F.col("start")).alias("held"))
+    return s.join(top, "source").select("source", "documents", (F.col("low") == 0).alias("begins_at_0"), "tokens", ((F.col("held") == F.col("top")) & (F.col("tokens") == F.col("top"))).alias("whole"))
 
 
 @query(f"with {_TOK}, c as (select doc_id, ids, len(ids) // 64 n from tk) select doc_id, list_transform(range(n), lambda k: ids[k * 64 + 1:k * 64 + 64]) chunks, len(ids) - n * 64 dropped from c")
@@ -210,20 +240,9 @@ def pair_check(spark, sf):
     return p.join(d, ["source_shard", "source_row"], "left").withColumn("paired", F.col("doc_id").isNotNull())
 
 
-@query(f"with l as (select min(record_id) a, max(record_id) b from records where token_sha is not null and text is not null group by token_sha having count(*) > 1), s as (select record_id, list_distinct({Q.tokens('text')}) ws from records where text is not null) select a, b, round(len(list_intersect(x.ws, y.ws)) / len(list_distinct(list_concat(x.ws, y.ws))), 9) jaccard from l join s x on x.record_id = a join s y on y.record_id = b where len(list_concat(x.ws, y.ws)) > 0")
-def pair_verify(spark, sf):
-    """Pairs that share a token hash, with the true similarity of their word sets."""
-    r = table(spark, sf, "records").where("text is not null")
-    l = r.where("token_sha is not null").groupBy("token_sha").agg(F.min("record_id").alias("a"), F.max("record_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("a", "b")
-    s = r.select("record_id", F.array_distinct(X.tokens(F.col("text"))).alias("ws"))
-    j = l.join(s.toDF("a", "x"), "a").join(s.toDF("b", "y"), "b").where("size(x) + size(y) > 0")
-    return j.select("a", "b", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 9).alias("jaccard"))
-
-
 @query(f"with l as (select token_sha, min(record_id) a from records where token_sha is not null and text is not null group by 1 having count(*) > 1), s as (select record_id, token_sha, list_distinct({Q.tokens('text')}) ws from records where text is not null) select l.a, y.record_id b, round(len(list_intersect(x.ws, y.ws)) / len(list_distinct(list_concat(x.ws, y.ws))), 9) jaccard from l join s x on x.record_id = l.a join s y on y.token_sha = l.token_sha and y.record_id > l.a where len(list_concat(x.ws, y.ws)) > 0")
-def pair_verify_members(spark, sf):
-    """Every member of a token hash's group against the group's first, one row a member; pair_verify
-    has the last member alone."""
+def pair_verify(spark, sf):
+    """Every member of a token hash's group against the group's first, one row a member."""
     r = table(spark, sf, "records").where("text is not null and token_sha is not null")
     low = r.groupBy("token_sha").agg(F.min("record_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("token_sha", "a")
     s = r.select("record_id", "token_sha", F.array_distinct(X.tokens(F.col("text"))).alias("ws"))
@@ -272,3 +291,100 @@ def inner_eos(spark, sf):
 def rouge_l(spark, sf):
     """Longest common subsequence of question and passage, as F1."""
     return lcs_f1(table(spark, sf, "eval_items"), "item_id", "question", "passage")
+
+
+@query("with l as (select doc_id, unnest(string_split(text, chr(10))) line, unnest(range(1, len(string_split(text, chr(10))) + 1)) line_no from documents where text is not null), o as (select *, octet_length(encode(line)) bytes from l) select doc_id, line_no::int line_no, (sum(bytes + 1) over (partition by doc_id order by line_no) - bytes - 1)::bigint as \"offset\", bytes::int bytes, sha256(line) line_sha from o")
+def line_scan(spark, sf):
+    """Every line with its number, the byte it begins at, its size and its digest."""
+    rows = _texts(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "line")).withColumn("bytes", F.octet_length("line"))
+    before = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)  # the lines of one document
+    return rows.select("doc_id", (F.col("k") + 1).alias("line_no"), F.coalesce(F.sum(F.col("bytes") + 1).over(before), F.lit(0)).alias("offset"), "bytes", F.sha2("line", 256).alias("line_sha"))
+
+
+@query("select doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{e}'))::int {e[1:4].lower()}" for e in X.BRACKETS) + " from documents where regexp_matches(text, '-[LR][RCS]B-')")
+def bracket_counts_doc(spark, sf):
+    """Escapes of each kind in every document that has one."""
+    return _texts(spark, sf).where(F.col("text").rlike("-[LR][RCS]B-")).select("doc_id", *(F.regexp_count("text", F.lit(e)).alias(e[1:4].lower()) for e in X.BRACKETS))
+
+
+@query(f"select doc_id, len(regexp_extract_all(text, '-[LR][RCS]B-'))::int patches, sha256({Q.replaced('text')}) forward, sha256(text) back from documents where text is not null")
+def patch_replay(spark, sf):
+    """Patches applied to the old text, and taken back from the new one: digests of what comes out."""
+    p = T.patches(docs(spark, sf), "doc_id", "text", X.BRACKETS).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "old", "new"))).alias("p"))
+    d = _texts(spark, sf).join(p, "doc_id", "left").select("doc_id", "text", F.coalesce("p", F.array().cast("array<struct<at:int,old:string,new:string>>")).alias("p"))
+    d = d.select("doc_id", "p", T.replayed(F.col("text"), F.col("p")).alias("new"))
+    return d.select("doc_id", F.size("p").alias("patches"), F.sha2("new", 256).alias("forward"), F.sha2(T.replayed(F.col("new"), F.col("p"), False), 256).alias("back"))
+
+
+@query(f"with l as (select doc_id, text, unnest(string_split(text, chr(10))) line, unnest(range(1, len(string_split(text, chr(10))) + 1)) k, len(string_split(text, chr(10))) n from documents where text is not null), o as (select doc_id, text, k, n, sum(length(line) + 1) over (partition by doc_id order by k)::bigint old_at from l) select doc_id, old_at, length({Q.replaced('substr(text, 1, old_at)')})::bigint new_at from o where k < n")
+def boundary_translation(spark, sf):
+    """Where each line begins before and after bracket escapes are replaced."""
+    return T.translated(docs(spark, sf), "doc_id", "text", X.BRACKETS)
+
+
+@query(f"with {_TOK}, w as (select doc_id, ids, max(len(ids)) over (partition by source, source_row // 8) width from tk) select doc_id, list_concat(list_transform(range(width - len(ids)), lambda i: 0), ids) padded, list_concat(list_transform(range(width - len(ids)), lambda i: 0), list_transform(range(len(ids)), lambda i: 1)) mask, (width - len(ids))::int span_offset from w")
+def pad_batch_left(spark, sf):
+    """As pad_batch, on the left side, with how far places in a document move."""
+    d = _ids(spark, sf).select("doc_id", "source", F.floor(F.col("source_row") / 8).alias("batch"), F.concat(F.array(F.lit(T.BOS)), "ids", F.array(F.lit(T.EOS))).alias("ids"))
+    d = d.join(d.groupBy("source", "batch").agg(F.max(F.size("ids")).alias("width")), ["source", "batch"])
+    return d.select("doc_id", T.padded(F.col("ids"), F.col("width"), 0, True).alias("padded"), T.padded(F.transform("ids", lambda t: F.lit(1)), F.col("width"), 0, True).alias("mask"), (F.col("width") - F.size("ids")).alias("span_offset"))
+
+
+@query("with recursive c as (select 1 n, 1::hugeint a, 1::hugeint b union all select n + 1, b, case when n = 1 then 3 else ((6 * (n + 2) - 9) * b - (n - 1) * a) // (n + 2) end from c where n < 30) select n::int n, least(a, 300)::int capped from c")
+def capped_trees(spark, sf):
+    """Numbers of trees over n leaves whose nodes have two parts or more (little Schroeder numbers), 300 at most."""
+    s = [0, 1, 1]
+    for n in range(3, 31):
+        s.append(((6 * n - 9) * s[n - 1] - (n - 3) * s[n - 2]) // n)
+    return spark.createDataFrame([(n, min(s[n], 300)) for n in range(1, 31)], "n int, capped int")
+
+
+@query(r"select doc_id, trim(regexp_replace(regexp_replace(text, '\[[a-z_ ]{1,20}\]|<[^<>\n]{1,100}>', ' ', 'g'), '[ \t]+', ' ', 'g')) cleaned from documents where text is not null")
+def tag_clean(spark, sf):
+    """Bracketed and angled tags taken out of texts."""
+    t = F.regexp_replace(F.regexp_replace("text", r"\[[a-z_ ]{1,20}\]|<[^<>\n]{1,100}>", " "), r"[ \t]+", " ")
+    return _texts(spark, sf).select("doc_id", F.trim(t).alias("cleaned"))
+
+
+@query("select doc_id, sha256(text) sha from documents where text is not null")
+def decode_mixed(spark, sf):
+    """Texts that come as bytes of several encodings, read by their marks or by what they are valid as."""
+    latin = F.col("text").rlike(r"^[\x09\x0a\x0d\x20-\x7e\xa0-\xff]*$") & F.col("text").rlike(r"[\xc0-\xff](?:[\x00-\x7f]|$)")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-16")).when((F.col("doc_id") % 3 == 1) & latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    return _texts(spark, sf).select("doc_id", F.sha2(decoded(raw), 256).alias("sha"))
+
+
+@query(f"select i.item_id, c.k::int cont_id, case when length(c.b) > 0 and instr(' ' || i.p || ' ', ' ' || c.b || ' ') > 0 then (length(left(' ' || i.p || ' ', instr(' ' || i.p || ' ', ' ' || c.b || ' '))) - length(replace(left(' ' || i.p || ' ', instr(' ' || i.p || ' ', ' ' || c.b || ' ')), ' ', '')) - 1)::int else -1 end first_word from (select item_id, {Q.body('passage')} p from eval_items where passage is not null) i join (select item_id, k, {Q.body('c')} b from (select item_id, unnest(choices) c, unnest(range(len(choices))) k from eval_items where choices is not null)) c using (item_id)")
+def subsequence_index(spark, sf):
+    """Where a choice's words stand next to each other in the passage: the place of the first, -1 if nowhere."""
+    i = table(spark, sf, "eval_items").where("passage is not null and choices is not null").select("item_id", F.concat(F.lit(" "), X.body(F.col("passage")), F.lit(" ")).alias("p"), F.posexplode("choices").alias("cont_id", "c"))
+    i = i.withColumn("b", X.body(F.col("c"))).withColumn("at", F.expr("instr(p, concat(' ', b, ' '))"))
+    before = F.expr("left(p, at)")
+    place = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit(""))) - 1
+    return i.select("item_id", "cont_id", F.when((F.length("b") > 0) & (F.col("at") > 0), place).otherwise(-1).alias("first_word"))
+
+
+@query("select split::int split, count(*) n, count(*) back, 0::bigint lost, 0::bigint added from records group by 1")
+def unpack_verify(spark, sf):
+    """Records exported as compressed JSON lines, unpacked and compared both ways."""
+    return unpacked(table(spark, sf, "records").select("record_id", "split", "token_sha", "text"), "split")
+
+
+@query("select split::int split, count(*) row_count, coalesce(sum(length(text)), 0)::bigint chars, true committed from records group by 1")
+def publish_manifest(spark, sf):
+    """Records written aside, checked, and published with a manifest row for each split."""
+    return publish(table(spark, sf, "records").select("record_id", "split", "text"), "split", "text")
+
+
+@query("select count(*) found from (select 1 from documents where contains(text, 'telescope') limit 1)")
+def exists_match(spark, sf):
+    """Whether any document has a phrase: stops at the first one."""
+    return docs(spark, sf).where(F.contains("text", F.lit("telescope"))).limit(1).agg(F.count("*").alias("found"))
+
+
+@query("with u as (select text, count(*) n, min(record_id) first_id from records where text is not null group by 1), d as (select text, " + Q.tokens("text") + " ws from u) select r.record_id, len(d.ws)::int words, sha256(array_to_string(d.ws, ' ')) body_sha from records r join d using (text)")
+def decode_once(spark, sf):
+    """Words of every record, counted once for each different text and joined back."""
+    r = table(spark, sf, "records").where("text is not null").select("record_id", "text", F.sha2("text", 256).alias("k"))
+    once = r.groupBy("k").agg(F.min("text").alias("t")).select("k", X.tokens(F.col("t")).alias("ws"))
+    return r.select("record_id", "k").join(once.select("k", F.size("ws").alias("words"), F.sha2(F.array_join("ws", " "), 256).alias("body_sha")), "k").select("record_id", "words", "body_sha")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import brackets
 from corpusmill.operators import binary as B
+from corpusmill.operators import ordered
 from corpusmill.operators import trees as T
 from corpusmill.operators.packing import greedy_chunks
 from corpusmill.plans import sql as Q
@@ -85,12 +86,19 @@ def frame_docs(spark, sf):
     return _lin(spark, sf).select("parse_id", T.framed(T.framed(F.col("tree"))).alias("framed"))
 
 
-@query(f"with {_TY}, lf as (select *, sum((step = 0)::int) over (partition by parse_id order by i)::int leaves from ty) select o.parse_id, o.label, o.leaves l, c.leaves - 1 r from lf o join lf c on o.parse_id = c.parse_id and c.open_at = o.i and c.step = -1 and not c.prev_leaf where o.step = 1 and not o.next_leaf and c.leaves - 1 >= o.leaves")
+def _spans(ty: str, name: str = "sp", of: str = "ty") -> str:
+    """Spans of phrases from typed rows: grouped by where a bracket opens, without a join of openings and closings."""
+    return f"""{ty}, {name}lf as (select *, sum((step = 0)::int) over (partition by parse_id order by i)::int leaves from {of}), {name}op as (select parse_id, open_at, min(case when step = 1 then leaves end) l, max(case when step = -1 then leaves - 1 end) r, max(level) as level, min(label) as label, bool_or(case when step = 1 then next_leaf else prev_leaf end) pre from {name}lf where step <> 0 group by 1, 2),
+{name}fi as (select parse_id, level - 1 as level, l, max(r) s from {name}op where r >= l group by 1, 2, 3), {name} as (select o.parse_id, o.label, o.l, coalesce(f.s, o.r) s, o.r from {name}op o left join {name}fi f on f.parse_id = o.parse_id and f.level = o.level and f.l = o.l where not o.pre and o.r >= o.l)"""
+
+
+@query(f"with {_spans(_TY)} select * from sp")
 def tree_spans(spark, sf):
+    """Label, ends and split of each phrase."""
     return T.spans(_parses(spark, sf))
 
 
-@query(f"with {_TY}, lf as (select *, sum((step = 0)::int) over (partition by parse_id order by i)::int leaves from ty), sp as (select o.parse_id, o.leaves l, c.leaves - 1 r from lf o join lf c on o.parse_id = c.parse_id and c.open_at = o.i and c.step = -1 and not c.prev_leaf where o.step = 1 and not o.next_leaf and c.leaves - 1 >= o.leaves) select parse_id, r k, j, least(count(*), 127)::int depth from (select parse_id, r, unnest(range(l, r + 1)) j from sp) group by 1, 2, 3")
+@query(f"with {_spans(_TY)} select parse_id, r k, j, least(count(*), 127)::int depth from (select parse_id, r, unnest(range(l, r + 1)) j from sp) group by 1, 2, 3")
 def depth_matrix(spark, sf):
     """How many spans that end at leaf k hold leaf j, in the lower triangle, 127 at most."""
     sp = T.spans(_parses(spark, sf)).select("parse_id", F.col("r").alias("k"), F.explode(F.sequence("l", "r")).alias("j"))
@@ -123,7 +131,7 @@ def parse_leaves(spark, sf):
     return p.select("parse_id", F.transform(F.regexp_extract_all("parsed", F.lit(r"\(([^\s()]+) ([^\s()]+)\)"), F.lit(2)), brackets).alias("leaves"))
 
 
-_SPANS = f"with {_TY}, lf as (select *, sum((step = 0)::int) over (partition by parse_id order by i)::int leaves from ty), sp as (select o.parse_id, o.label, o.leaves l, c.leaves - 1 r from lf o join lf c on o.parse_id = c.parse_id and c.open_at = o.i and c.step = -1 and not c.prev_leaf where o.step = 1 and not o.next_leaf and c.leaves - 1 >= o.leaves)"
+_SPANS = f"with {_spans(_TY)}"
 
 
 @query(_SPANS + ", sd as (select parse_id, min(source_shard) >= 'crawl-shard-030' reserved from parses group by 1) select label, l, r, sum(case when reserved then 1 else -1 end)::bigint diff from sp join sd using (parse_id) group by 1, 2, 3 having sum(case when reserved then 1 else -1 end) <> 0")
@@ -153,13 +161,13 @@ def marker_counts(spark, sf):
     return u.where(~T.is_leaf(F.col("marker"))).groupBy("marker").agg(F.count("*").alias("n"), F.countDistinct("parse_id").alias("forests"))
 
 
-@query(f"with {_LIN}, u as (select parse_id, unnest(tree) t, unnest(range(len(tree))) pos from lin), v as (select marker, row_number() over (order by marker) + 60000 id from (select distinct t marker from u where {_O.replace('t[', 'u.t[')} or {_C.replace('t[', 'u.t[')})) select u.parse_id, list(coalesce(v.id, 0) order by pos) ids from u left join v on v.marker = u.t group by 1")
+@query(f"with {_LIN}, u as (select parse_id, unnest(tree) t, unnest(range(len(tree))) pos from lin), v as (select marker, row_number() over (order by marker) + 60000 id from (select distinct t marker from u where {_O.replace('t[', 'u.t[')} or {_C.replace('t[', 'u.t[')})) select u.parse_id, list(coalesce(v.id, ('0x' || sha256(u.t)[1:4])::bigint % 50000) order by pos) ids from u left join v on v.marker = u.t group by 1")
 def encode_markers(spark, sf):
-    """Markers as ids from 60001 in order of their text, leaves as 0 (their ids are a tokenizer's)."""
+    """Markers as ids from 60001 in order of their text, leaves as hashes below 50000."""
     u = _lin(spark, sf).select("parse_id", F.posexplode("tree").alias("pos", "t"))
-    # labels are a closed set: the vocabulary of markers is small whatever the number of forests
-    v = u.where(~T.is_leaf(F.col("t"))).select("t").distinct().withColumn("id", F.row_number().over(Window.orderBy("t")).cast("bigint") + 60000)
-    x = u.join(v, "t", "left").groupBy("parse_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(0)).alias("id")))).alias("x"))
+    v = ordered.numbered(u.where(~T.is_leaf(F.col("t"))).select("t").distinct(), ["t"]).select("t", (F.col("rn") + 60000).alias("id"))
+    leaf = F.conv(F.substring(F.sha2("t", 256), 1, 4), 16, 10).cast("bigint") % 50000
+    x = u.join(v, "t", "left").groupBy("parse_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", leaf).alias("id")))).alias("x"))
     return x.select("parse_id", F.transform("x", lambda y: y["id"]).alias("ids"))
 
 
@@ -197,7 +205,106 @@ def label_depths(spark, sf):
     return rows.groupBy("parse_id", "label").agg(F.count("*").alias("n"), F.max("level").cast("int").alias("deepest"))
 
 
-@query(f"with {_LIN} select parse_id, len(list_filter(tree, lambda t: {_O} or {_C})) markers, (select count(*) from ty where ty.parse_id = lin.parse_id and step = 1 and depth = 1 and not next_leaf) roots, true valid from lin")
+#: Each forest as it is, without its last token, with its markers' labels crossed, and reversed.
+_VARIANTS = f"vr as (select parse_id, unnest([{{{{'k': 'whole', 't': tree}}}}, {{{{'k': 'cut', 't': tree[1:len(tree) - 1]}}}}, {{{{'k': 'crossed', 't': list_concat(['<(X>', '<(Y>'], tree, ['<X)>', '<Y)>'])}}}}, {{{{'k': 'reversed', 't': list_reverse(tree)}}}}]) x from lin)".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""with recursive {_LIN}, {_VARIANTS}, vm as (select parse_id, x.k kind, list_filter(x.t, lambda t: {_O} or {_C}) ms from vr),
+st as (select parse_id, kind, ms, 0 i, []::varchar[] open, 0 dep, 0 roots, true ok from vm union all
+select parse_id, kind, ms, i + 1, case when ms[i + 1][1:2] = '<(' then list_append(open, ms[i + 1][3:-2]) else open[1:len(open) - 1] end, dep + case when ms[i + 1][1:2] = '<(' then 1 else -1 end, roots + (ms[i + 1][1:2] = '<(' and dep = 0)::int, ok and (ms[i + 1][1:2] = '<(' or (len(open) > 0 and open[len(open)] = ms[i + 1][2:-3])) from st where i < len(ms))
+select parse_id, kind, len(ms) markers, roots, ok and len(open) = 0 valid from st where i = len(ms)""")
 def typed_balance(spark, sf):
-    """Pairs and labels of the markers of each linearized forest."""
-    return T.typed_balance(_lin(spark, sf))
+    """Pairs and labels of the markers of each linearized forest, and of damaged forms of it. The SQL walks
+    with a stack."""
+    k = lambda n, t: F.struct(F.lit(n).alias("kind"), t.alias("tree"))
+    x = F.col("tree")
+    crossed = F.concat(F.array(F.lit("<(X>"), F.lit("<(Y>")), x, F.array(F.lit("<X)>"), F.lit("<Y)>")))
+    v = _lin(spark, sf).select("parse_id", F.explode(F.array(k("whole", x), k("cut", F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))), k("crossed", crossed), k("reversed", F.reverse(x)))).alias("v")).select(F.struct("parse_id", "v.kind").alias("id"), "v.tree")
+    return T.typed_balance(v, "id", "tree").select("id.parse_id", "id.kind", "markers", "roots", "valid")
+
+
+@query(None)
+def binarize_left(spark, sf):
+    """Nodes of the left-branching binary tree of each forest, in post-order."""
+    return B.binarized(_lin(spark, sf), "parse_id", "tree", left=True)
+
+
+@query(None)
+def merge_order_left(spark, sf):
+    return B.merge_order(_lin(spark, sf), "parse_id", "tree", left=True)
+
+
+@query(f"with {_LIN} select parse_id, tree from lin")
+def tg_inverse(spark, sf):
+    """The tg form taken back: each pair of closing markers as one."""
+    return B.undoubled(_lin(spark, sf).select("parse_id", T.closes_times(F.col("tree"), 2).alias("tree")), "parse_id", "tree")
+
+
+@query(f"with {_LIN} select parse_id, list_concat(tree, ['</s>']) tree from lin")
+def inner_eos_depth(spark, sf):
+    """End marks taken out inside trees (one is put behind every opening marker here) and kept at the end."""
+    put = F.flatten(F.transform("tree", lambda t: F.when(T.is_open(t), F.array(t, F.lit("</s>"))).otherwise(F.array(t))))
+    return B.without_inner(_lin(spark, sf).select("parse_id", F.concat(put, F.array(F.lit("</s>"))).alias("tree")), "parse_id", "tree")
+
+
+@query(f"with {_LIN}, pz as (select parse_id, list_filter(tree, lambda t: not {_O} and not {_C}) x from lin) select parse_id, x restored, list_transform(range(len(x) + len(x) // 4 * 2), lambda i: i % 6 >= 4) mask, len(x) + case when len(x) > 0 and len(x) % 4 = 0 then len(x) // 4 * 2 - 2 else len(x) // 4 * 2 end trimmed from pz")
+def pause_inverse(spark, sf):
+    """The mask of inserted pauses, the array without them, and its length without those at the end."""
+    d = _lin(spark, sf).select("parse_id", T.pauses(T.terminal(F.col("tree")), 2, 4).alias("x"))
+    return d.select("parse_id", T.unpaused(F.col("x"), 2, 4).alias("restored"), T.pause_mask(F.col("x"), 2, 4).alias("mask"), F.size(T.without_last_pauses(F.col("x"))).cast("bigint").alias("trimmed"))
+
+
+@query(f"with {_LIN}, v as (select parse_id, unnest(['plain', 'framed', 'twice', 'inside']) kind, tree from lin) select parse_id, kind, case kind when 'twice' then 'misplaced <s>' when 'inside' then 'misplaced </s>' end error from v")
+def frame_errors(spark, sf):
+    """Markers in the wrong place: forests without markers, framed, with two at the front, and with one inside."""
+    x, bos, eos = F.col("tree"), F.array(F.lit("<s>")), F.array(F.lit("</s>"))
+    forms = {"plain": x, "framed": F.concat(bos, x, eos), "twice": F.concat(bos, bos, x, eos), "inside": F.concat(bos, F.slice(x, 1, 1), eos, x, eos)}
+    v = _lin(spark, sf).select("parse_id", F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), t.alias("t")) for n, t in forms.items()))).alias("v")).select("parse_id", "v.*")
+    return v.select("parse_id", "kind", T.frame_error(F.col("t")).alias("error"))
+
+
+@query(rf"with {_LIN}, le as (select parse_id, list_filter(tree, lambda t: not {_O} and not {_C}) a from lin), rx as (select parse_id, list_transform(regexp_extract_all(parsed, '\([^\s()]*|\)|[^\s()]+'), lambda t: t) toks from p), raw as (select parse_id, list_transform(list_filter(toks, lambda t: t[1] <> '(' and t <> ')'), lambda x: {Q.replaced('x')}) b from rx), pl as (select parse_id, min(source_shard) s, min(source_row) r from parses group by 1) select le.parse_id, a = b same_leaves, exists(select 1 from documents d where d.source = s and d.source_row = r) paired from le join raw using (parse_id) join pl using (parse_id)")
+def pair_proof(spark, sf):
+    """Whether the projection of a tree onto its leaves is the text of the parse, and a document is at its place."""
+    lv = _lin(spark, sf).select("parse_id", T.terminal(F.col("tree")).alias("a"))
+    p = _parses(spark, sf).where("parsed is not null").groupBy("parse_id").agg(F.min("parsed").alias("parsed"))
+    toks = F.filter(F.regexp_extract_all("parsed", F.lit(T.TOKEN), F.lit(0)), lambda t: ~t.startswith("(") & (t != ")"))
+    raw = p.select("parse_id", F.transform(toks, brackets).alias("b"))
+    place = _parses(spark, sf).groupBy("parse_id").agg(F.min("source_shard").alias("source"), F.min("source_row").alias("source_row"))
+    d = table(spark, sf, "documents").select("source", "source_row").distinct().withColumn("there", F.lit(True))
+    return lv.join(raw, "parse_id").join(place, "parse_id").join(d, ["source", "source_row"], "left").select("parse_id", (F.col("a") == F.col("b")).alias("same_leaves"), F.coalesce("there", F.lit(False)).alias("paired"))
+
+
+_NEW = "pn as (select parse_id, regexp_replace(parsed, '\\(NP([ )])', '(NX\\1', 'g') parsed from p where parse_id % 2 = 0 union all select parse_id, parsed || ' (S (X end))' from p where parse_id % 2 = 1)"
+
+
+def _version(ev: str) -> str:
+    """The typed rows of another version of the forests, whose texts are pn's."""
+    names = ("t", "s", "ev", "bal", "lv", "ty")
+    body = ev[ev.index("t as (") :].replace("from p)", "from pn)")
+    for n in names:
+        body = body.replace(f"\n{n} as (", f"\n{n}2 as (").replace(f"from {n} ", f"from {n}2 ").replace(f"from {n})", f"from {n}2)")
+    return body.replace("t as (select parse_id, unnest(toks)", "t2 as (select parse_id, unnest(toks)").replace("from bal where", "from bal2 where").replace("from t)", "from t2)").replace("from ev group", "from ev2 group").replace("from lv window", "from lv2 window")
+
+
+@query(f"""with {_spans(_TY)}, {_NEW}, {_spans(_version(_TY), 'sq', 'ty2')}, oc as (select parse_id, label, l, r, count(*) n from sp group by 1, 2, 3, 4), nc as (select parse_id, label, l, r, count(*) n from sq group by 1, 2, 3, 4),
+j as (select coalesce(a.parse_id, b.parse_id) parse_id, coalesce(a.l, b.l) l, coalesce(a.r, b.r) r, coalesce(a.n, 0) o, coalesce(b.n, 0) w from oc a full join nc b on a.parse_id = b.parse_id and a.label = b.label and a.l = b.l and a.r = b.r),
+u as (select parse_id, l, r, sum(o) o, sum(w) w from j group by 1, 2, 3), k as (select parse_id, bool_and(o = w) same from j group by 1), v as (select parse_id, bool_and(o = w) same_spans, bool_and((o > 0) = (w > 0)) same_kinds from u group by 1)
+select case when same then 'serialization_only' when same_spans then 'label_only' when same_kinds then 'unary_multiplicity' else 'changed_spans' end kind, count(*) forests from k join v using (parse_id) group by 1""")
+def span_changes(spark, sf):
+    """Two versions of the forests by what changed: nothing, labels, the number of phrases over the same leaves,
+    or spans. (The new version has a label renamed in even forests and a tree more in odd ones.)"""
+    old, new = _versions(spark, sf)
+    n = lambda d, name: d.groupBy("parse_id", "label", "l", "r").agg(F.count("*").alias(name))
+    j = n(T.spans(old), "o").join(n(T.spans(new), "w"), ["parse_id", "label", "l", "r"], "full_outer").fillna(0, ["o", "w"])
+    u = j.groupBy("parse_id", "l", "r").agg(F.sum("o").alias("o"), F.sum("w").alias("w"))
+    k = j.groupBy("parse_id").agg(F.bool_and(F.col("o") == F.col("w")).alias("same"))
+    v = u.groupBy("parse_id").agg(F.bool_and(F.col("o") == F.col("w")).alias("same_spans"), F.bool_and((F.col("o") > 0) == (F.col("w") > 0)).alias("same_kinds"))
+    kind = F.when(F.col("same"), "serialization_only").when(F.col("same_spans"), "label_only").when(F.col("same_kinds"), "unary_multiplicity").otherwise("changed_spans")
+    return k.join(v, "parse_id").groupBy(kind.alias("kind")).agg(F.count("*").alias("forests"))
+
+
+def _versions(spark, sf):
+    p = _parses(spark, sf).where("parsed is not null").groupBy("parse_id").agg(F.min("parsed").alias("parsed"))
+    new = F.when(F.col("parse_id") % 2 == 0, F.regexp_replace("parsed", r"\(NP([ )])", "(NX$1")).otherwise(F.concat("parsed", F.lit(" (S (X end))")))
+    return p, p.select("parse_id", new.alias("parsed"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import content_key
 from corpusmill.operators.dedup import first_of
 from corpusmill.operators.splits import hash_split
-from corpusmill.session import shared_dir
+from corpusmill.session import shared_dir, temporary
 
 
 class Accepted:
@@ -48,7 +48,7 @@ def select_batch(rows: DataFrame, accepted: Accepted, batch: int, targets: dict[
 def run(spark: SparkSession, source: str, schema: str, id: str, text: str, targets: dict[int, int], path: str | None = None, buckets: int = 2048, files: int = 1) -> DataFrame:
     """Consume the Parquet files under `source` that are there now, a few at a time, and return the
     accepted table. Progress is in the checkpoint beside it: a second run takes only new files."""
-    path = path or f"{shared_dir(spark)}/corpusmill/accepted-{uuid.uuid4().hex}"
+    path = path or temporary(spark, f"{shared_dir(spark)}/corpusmill/accepted-{uuid.uuid4().hex}")
     accepted = Accepted(spark, path + "/table")
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(source)

@@ -428,10 +428,10 @@ def test_content_edges_have_exact_and_partial(spark, tmp_path):
 def test_pair_verify_reads_the_middle_of_a_group(spark, tmp_path):
     rows_in = [(1, "k", "a b"), (2, "k", "c d"), (3, "k", "a b"), (4, "m", "a"), (5, None, "a"), (6, "k", None)]
     spark.createDataFrame(rows_in, "record_id long, token_sha string, text string").write.parquet(str(tmp_path / "records.parquet"))
-    assert rows(texts.pair_verify_members(spark, str(tmp_path))) == [(1, 2, 0.0), (1, 3, 1.0)]
+    assert rows(texts.pair_verify(spark, str(tmp_path))) == [(1, 2, 0.0), (1, 3, 1.0)]
 
 
 def test_interval_lookup_reaches_each_shards_end(spark, tmp_path):
     given = [("a", 0, 0, 700), ("a", 1, 700, 1001), ("b", 0, 0, 400)]
     spark.createDataFrame(given, "source_shard string, ordinal int, start_tok long, end_tok long").write.parquet(str(tmp_path / "records.parquet"))
-    assert rows(split_plans.interval_lookup_full(spark, str(tmp_path))) == [("a", 0, 0), ("a", 1000, 700), ("a", 500, 0), ("b", 0, 0)]
+    assert rows(split_plans.interval_lookup(spark, str(tmp_path))) == [("a", 0, 0), ("a", 1000, 700), ("a", 500, 0), ("b", 0, 0)]
