@@ -37,9 +37,15 @@ def census(df: DataFrame, key: str, shard: str, profiles: dict[str, Column]) ->
         F.count_if(F.col("n") == 1).alias("singletons"),
         F.count_if(F.col("shards") > 1).alias("cross_shard"),
         F.max("n").alias("most_copies"),
+        F.round(100.0 * F.count("*") / F.sum("n"), 6).alias("unique_percent"),
     )
 
 
+def copy_histogram(df: DataFrame, key: str) -> DataFrame:
+    """(copies, contents): how many contents have each number of copies. Null keys are left out."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("copies")).groupBy("copies").agg(F.count("*").alias("contents"))
+
+
 def unique_lines(df: DataFrame, id: str, text: str) -> DataFrame:
     """(id, lines, kept, text) with each line kept where it first occurs in its document."""
     lines = F.split(text, "\n")

@@ -71,12 +71,18 @@ def dup_groups(spark, sf):
 @query(f"""
 with p as (select source, {Q.content_key('text')} k, unnest(case when {RES} then ['all', 'reserved'] else ['all', 'historical'] end) profile from documents where text is not null),
 c as (select profile, k, count(*) n, count(distinct source) shards from p group by 1, 2)
-select profile, sum(n)::bigint documents, count(*) unique_contents, sum(n - 1)::bigint extra_copies, count_if(n = 1)::bigint singletons, count_if(shards > 1)::bigint cross_shard, max(n) most_copies from c group by 1""")
+select profile, sum(n)::bigint documents, count(*) unique_contents, sum(n - 1)::bigint extra_copies, count_if(n = 1)::bigint singletons, count_if(shards > 1)::bigint cross_shard, max(n) most_copies, round(100.0 * count(*) / sum(n), 6) unique_percent from c group by 1""")
 def dup_census(spark, sf):
     keyed = docs(spark, sf).where("text is not null").select("source", X.content_key(F.col("text")).alias("k"))
     return dedup.census(keyed, "k", "source", {"all": F.lit(True), "reserved": reserved(), "historical": ~reserved()})
 
 
+@query(f"with c as (select {Q.content_key('text')} k, count(*) copies from documents where text is not null group by 1) select copies, count(*) contents from c group by 1")
+def copy_histogram(spark, sf):
+    """Contents by their number of copies."""
+    return dedup.copy_histogram(docs(spark, sf).where("text is not null").select(X.content_key(F.col("text")).alias("k")), "k")
+
+
 @query("""
 with s as (select token_sha, source_shard, count(*) n from records where token_sha is not null group by 1, 2), c as (select token_sha, sum(n) n, count(*) shards from s group by 1)
 select sum(n)::bigint documents, count(*) unique_contents, (select sum(n - 1)::bigint from s) within_shard, (sum(n - 1) - (select sum(n - 1) from s))::bigint across_shards from c""")
@@ -348,6 +354,18 @@ def nearest_ref(spark, sf):
     return memberships(b.where("reserved")).join(told, "class_id").select("id", zero("max_jaccard"), "jaccard_source", zero("max_containment"), "containment_source", zero("max_coverage"), "coverage_source", "union_coverage")
 
 
+_HIT = "max_jaccard >= 0.6 or max_containment >= 0.6 or union_coverage >= 0.3"
+
+
+@query(f"with {_NEAREST}, rk as (select *, row_number() over (order by max_jaccard desc, id) a, row_number() over (order by max_containment desc, id) b, row_number() over (order by union_coverage desc, id) c from nr) select id, a <= 20 by_jaccard, b <= 20 by_containment, c <= 20 by_coverage, {_HIT} over_threshold from rk where a <= 20 or b <= 20 or c <= 20 or {_HIT}")
+def overlap_review(spark, sf):
+    """Reserved documents to look at: the first 20 by each measure, and all over a threshold."""
+    n = materialize(nearest_ref(spark, sf), "nearest")
+    first = lambda c, name: n.orderBy(F.desc(c), "id").limit(20).select("id", F.lit(name).alias("why"))
+    why = first("max_jaccard", "by_jaccard").union(first("max_containment", "by_containment")).union(first("union_coverage", "by_coverage")).union(n.where(_HIT).select("id", F.lit("over_threshold")))
+    return why.groupBy("id").agg(*(F.bool_or(F.col("why") == w).alias(w) for w in ("by_jaccard", "by_containment", "by_coverage", "over_threshold")))
+
+
 _AT = (80, 70, 60)
 _TABLED = ", ".join([f"count_if(max_jaccard >= {t / 100} or max_containment >= {t / 100})::bigint near_{t}" for t in _AT] + ["count_if(union_coverage >= 0.3)::bigint coverage_30", "count_if(union_coverage > 0)::bigint any_shared", "max(max_jaccard) max_jaccard", "max(max_containment) max_containment", "max(union_coverage) max_coverage", "count(*) documents"])
 

@@ -352,3 +352,14 @@ def train_map(spark, sf):
     s = table(spark, sf, "split_items").select(F.col("source_shard").alias("source"), "source_row").distinct()
     d = docs(spark, sf).select("doc_id", "source", "source_row").join(s, ["source", "source_row"], "left_anti")
     return ordered.numbered(d, ["source", "source_row", "doc_id"]).select("doc_id", "source", "source_row", (F.col("rn") - 1).alias("pos"))
+
+
+@query("""with s as (select source, count(*) n from documents group by 1), q as (select *, n * 60 // (select sum(n) from s) q, n * 60 % (select sum(n) from s) r from s), t as (select source, n, (q + (row_number() over (order by r desc, source desc) <= 60 - (select sum(q) from q))::int)::bigint test from q),
+u as (select *, n - test rest from t), v as (select *, rest * 60 // (select sum(rest) from u) q, rest * 60 % (select sum(rest) from u) r from u), w as (select source, test, (q + (row_number() over (order by r desc, source desc) <= 60 - (select sum(q) from v))::int)::bigint dev from v),
+o as (select doc_id, source, row_number() over (partition by source order by sha256('sample:' || doc_id), doc_id) rn from documents) select doc_id, source, case when rn <= test then 'test' else 'dev' end part from o join w using (source) where rn <= test + dev""")
+def index_sample_allocated(spark, sf):
+    """60 test rows dealt to shards by size, 60 dev rows by what is left, disjoint, by hash order within a shard."""
+    s = P.allocated(docs(spark, sf).groupBy("source").agg(F.count("*").alias("n")), "source", "n", 60, last_key_first=True).withColumnRenamed("share", "test")
+    s = P.allocated(s.withColumn("rest", F.col("n") - F.col("test")), "source", "rest", 60, last_key_first=True).withColumnRenamed("share", "dev")
+    d = ordered.numbered(docs(spark, sf).select("doc_id", "source", P.hash_order("sample", F.col("doc_id")).alias("h")), ["h", "doc_id"], by=["source"])
+    return d.join(s.select("source", "test", "dev"), "source").where("rn <= test + dev").select("doc_id", "source", F.when(F.col("rn") <= F.col("test"), "test").otherwise("dev").alias("part"))

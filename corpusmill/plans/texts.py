@@ -346,7 +346,7 @@ def tag_clean(spark, sf):
     return _texts(spark, sf).select("doc_id", F.trim(t).alias("cleaned"))
 
 
-@query("select doc_id, sha256(text) sha from documents where text is not null")
+@query(r"select doc_id, sha256(case when doc_id % 3 = 0 then text else regexp_replace(text, '^\x{FEFF}', '') end) sha from documents where text is not null")
 def decode_mixed(spark, sf):
     """Texts that come as bytes of several encodings, read by their marks or by what they are valid as."""
     latin = F.col("text").rlike(r"^[\x09\x0a\x0d\x20-\x7e\xa0-\xff]*$") & F.col("text").rlike(r"[\xc0-\xff](?:[\x00-\x7f]|$)")
@@ -388,3 +388,14 @@ def decode_once(spark, sf):
     r = table(spark, sf, "records").where("text is not null").select("record_id", "text", F.sha2("text", 256).alias("k"))
     once = r.groupBy("k").agg(F.min("text").alias("t")).select("k", X.tokens(F.col("t")).alias("ws"))
     return r.select("record_id", "k").join(once.select("k", F.size("ws").alias("words"), F.sha2(F.array_join("ws", " "), 256).alias("body_sha")), "k").select("record_id", "words", "body_sha")
+
+
+@query(None)
+def rouge_mean(spark, sf):
+    """F1 of words, of word pairs and of the longest common subsequence of question and passage, and their mean."""
+    from corpusmill.plans.metrics import rouge12
+
+    both = rouge12(spark, sf).groupBy("item_id").pivot("n", [1, 2]).agg(F.first("f1")).toDF("item_id", "f1", "f2")
+    l = rouge_l(spark, sf).select("item_id", F.col("f1").alias("fl"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return both.join(l, "item_id").select("item_id", "f1", "f2", "fl", ((zero("f1") + zero("f2") + zero("fl")) / 3).alias("mean"))

@@ -308,3 +308,23 @@ def _versions(spark, sf):
     p = _parses(spark, sf).where("parsed is not null").groupBy("parse_id").agg(F.min("parsed").alias("parsed"))
     new = F.when(F.col("parse_id") % 2 == 0, F.regexp_replace("parsed", r"\(NP([ )])", "(NX$1")).otherwise(F.concat("parsed", F.lit(" (S (X end))")))
     return p, p.select("parse_id", new.alias("parsed"))
+
+
+@query(f"with {_EV}, rx as (select parse_id, list_transform(regexp_extract_all(parsed, '\\(([^\\s()]+) ([^\\s()]+)\\)', 2), lambda x: {Q.replaced('x')}) a, list_transform(list_filter(regexp_extract_all(parsed, '\\([^\\s()]*|\\)|[^\\s()]+'), lambda t: t[1] <> '(' and t <> ')'), lambda x: {Q.replaced('x')}) b from p) select rx.parse_id, case when coalesce(balanced, false) and a = b then 'nodes' when coalesce(balanced, false) then 'tokens' else 'unbalanced' end how, case when coalesce(balanced, false) then b else [] end leaves from rx left join bal using (parse_id)")
+def parse_leaves_checked(spark, sf):
+    """Leaves of balanced forests: those of plain preterminals where these are all, else every token that is no
+    bracket; unbalanced ones have none and say so."""
+    p = _parses(spark, sf).where("parsed is not null").groupBy("parse_id").agg(F.min("parsed").alias("parsed"))
+    a = F.transform(F.regexp_extract_all("parsed", F.lit(r"\(([^\s()]+) ([^\s()]+)\)"), F.lit(2)), brackets)
+    b = F.transform(F.filter(F.regexp_extract_all("parsed", F.lit(T.TOKEN), F.lit(0)), lambda t: ~t.startswith("(") & (t != ")")), brackets)
+    ok = T.balance(T.events(_parses(spark, sf))).select("parse_id", "balanced")
+    d = p.select("parse_id", a.alias("a"), b.alias("b")).join(ok, "parse_id", "left").withColumn("ok", F.coalesce("balanced", F.lit(False)))
+    how = F.when(F.col("ok") & (F.col("a") == F.col("b")), "nodes").when(F.col("ok"), "tokens").otherwise("unbalanced")
+    return d.select("parse_id", how.alias("how"), F.when(F.col("ok"), F.col("b")).otherwise(F.array().cast("array<string>")).alias("leaves"))
+
+
+@query(None)
+def graft(spark, sf):
+    """Each forest with the phrase over all of its leaves, if there is one, replaced by a tree of one leaf."""
+    put = F.array(*map(F.lit, ("<(X>", "x", "<X)>")))
+    return B.graft(_lin(spark, sf).select("parse_id", "tree", T.terminal(F.col("tree")).alias("leaves"), put.alias("put")), "parse_id", "tree", "leaves", "put")
