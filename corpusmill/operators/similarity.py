@@ -187,7 +187,7 @@ def pair_coverage(left: DataFrame, right: DataFrame, n: int, self_join: bool = F
         told = met.groupBy("a", "b").agg(F.sum(F.size("pa")).alias("ka"), F.sum(F.size("pb")).alias("kb")).join(na, "a").join(nb, "b")
         met = met.join(materialize(told.where(f"ka * {n} >= {least} * na - 1e-9 or kb * {n} >= {least} * nb - 1e-9").select("a", "b"), "likely"), ["a", "b"], "left_semi")
     starts = met.groupBy("a", "b").agg(F.array_sort(F.flatten(F.collect_list("pa"))).alias("pa"), F.array_sort(F.flatten(F.collect_list("pb"))).alias("pb"))
-    return starts.select("a", "b", _covered("pa", n).alias("ca"), _covered("pb", n).alias("cb")).join(na, "a").join(nb, "b")
+    return starts.select("a", "b", _covered("pa", n).alias("ca"), _covered("pb", n).alias("cb")).join(na, "a").join(nb, "b").select("a", "b", "ca", "cb", "na", "nb")
 
 
 def partial_pairs(docs: DataFrame, n: int = 13, least: float = 0.3, min_words: int = 50, drop: DataFrame | None = None) -> DataFrame:

@@ -64,7 +64,7 @@ def decoded(content: Column) -> Column:
 
 
 def read_encoded(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of whole files of mixed encodings."""
+    """(path, text) of whole files of mixed encodings; an empty file gives no row."""
     return spark.read.format("binaryFile").load(path).select("path", decoded(F.col("content")).alias("text"))
 
 
