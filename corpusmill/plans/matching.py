@@ -13,8 +13,9 @@ from corpusmill.plans.registry import docs, query, table
 from corpusmill.session import materialize, spread
 
 RES = "source >= 'crawl-shard-030'"
-#: Documents that make a run a template, at least; 100 on large tables, 3 here, where the small ones have some.
-FLOOR = 3
+#: Documents that make a run a template, at least, of the reserved ones and of all; 100 on large tables, fewer
+#: here, where the small ones have some.
+FLOOR, ALL_FLOOR = 3, 5
 
 
 def reserved() -> Column:
@@ -252,28 +253,28 @@ def internal_edges(spark, sf):
     return _near(one, one, True)
 
 
-def _template_sql(of: str) -> str:
+def _template_sql(of: str, floor: int) -> str:
     """Runs of 13 words in many of the documents that `of` selects."""
-    return f"(select gram from g13 join docs using (doc_id) where {of} group by 1 having count(distinct doc_id) >= greatest({FLOOR}, ceil((select count(*) from docs where {of}) / 100)))"
+    return f"(select gram from g13 join docs using (doc_id) where {of} group by 1 having count(distinct doc_id) >= greatest({floor}, ceil((select count(*) from docs where {of}) / 100)))"
 
 
-def _partial_sql(of: str) -> str:
-    return f"""t13 as {_template_sql(of)}, v as (select g13.* from g13 join w using (doc_id) where n >= 50 and gram not in (select gram from t13)),
+def _partial_sql(of: str, floor: int) -> str:
+    return f"""t13 as {_template_sql(of, floor)}, v as (select g13.* from g13 join w using (doc_id) where n >= 50 and gram not in (select gram from t13)),
 vp as (select x.doc_id a, y.doc_id b, x.pos pa, y.pos pb from v x join v y on x.gram = y.gram where x.doc_id < y.doc_id), va as (select a, b, count(distinct place) n from (select a, b, unnest(range(pa, pa + 13)) place from vp) group by 1, 2), vb as (select a, b, count(distinct place) n from (select a, b, unnest(range(pb, pb + 13)) place from vp) group by 1, 2),
 pt as (select a, b from va join vb using (a, b) join w wa on wa.doc_id = a join w wb on wb.doc_id = b where va.n / wa.n >= 0.3 or vb.n / wb.n >= 0.3)"""
 
 
 _EX = f"ex as (select low a, doc_id b from (select doc_id, min(doc_id) over (partition by array_to_string({Q.tokens('text')}, ' ')) low from documents where text is not null) where low <> doc_id)"
-_CONTENT = f"{_REPS}, {_SETS}, {_pairs(_WITHIN)}, {Q.grams(13, 'g13')}, {_partial_sql('true')}, {_EX}, ce as (select a, b, 'near' reason, shared / (ma + mb - shared) jaccard, shared / least(ma, mb) containment from p where {_NEAR} union all select a, b, 'exact', 1, 1 from ex union all select a, b, 'partial', 0, 0 from pt)"
+_CONTENT = f"{_REPS}, {_SETS}, {_pairs(_WITHIN)}, {Q.grams(13, 'g13')}, {_partial_sql('true', ALL_FLOOR)}, {_EX}, ce as (select a, b, 'near' reason, shared / (ma + mb - shared) jaccard, shared / least(ma, mb) containment from p where {_NEAR} union all select a, b, 'exact', 1, 1 from ex union all select a, b, 'partial', 0, 0 from pt)"
 
 
-def _edges(b: DataFrame) -> DataFrame:
+def _edges(b: DataFrame, floor: int) -> DataFrame:
     """Exact, near and partial edges within the contents of b."""
     one = materialize(representatives(b).select("id", "words"), "contents")
     named = lambda pairs, reason, value: pairs.select("a", "b", F.lit(reason).alias("reason"), F.lit(value).alias("jaccard"), F.lit(value).alias("containment"))
     exact = memberships(b).where("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b"))
     near = _near(one, one, True).select("a", "b", F.lit("near").alias("reason"), "jaccard", "containment")
-    partial = S.partial_pairs(one, drop=S.template_keys(one, 13, FLOOR))
+    partial = S.partial_pairs(one, drop=S.template_keys(one, 13, floor))
     return near.unionByName(named(exact, "exact", 1.0)).unionByName(named(partial, "partial", 0.0))
 
 
@@ -281,7 +282,7 @@ def _edges(b: DataFrame) -> DataFrame:
 def content_edges(spark, sf):
     """Edges within the corpus: exact ones from each content's first document to the others, near and partial
     ones between first documents. Partial: either text's words lie for 30 % in runs of 13 that both have."""
-    return _edges(bodies(spark, sf))
+    return _edges(bodies(spark, sf), ALL_FLOOR)
 
 
 def _components_sql(edges: str) -> str:
@@ -389,7 +390,7 @@ def components(spark, sf):
     return connected_components(internal_edges(spark, sf))
 
 
-@query(f"""with recursive {_ALL}, {_SETS}, {_pairs(_ACROSS)}, {_pairs('x.doc_id < y.doc_id and x.res and y.res', 'pi')}, {Q.grams(13, 'g13a')}, g13 as (select g13a.* from g13a join docs using (doc_id) where res), {_partial_sql('res')},
+@query(f"""with recursive {_ALL}, {_SETS}, {_pairs(_ACROSS)}, {_pairs('x.doc_id < y.doc_id and x.res and y.res', 'pi')}, {Q.grams(13, 'g13a')}, g13 as (select g13a.* from g13a join docs using (doc_id) where res), {_partial_sql('res', FLOOR)},
 e as (select a, b from pi where {_NEAR} union all select a, b from pt union all select x.doc_id, y.doc_id from docs x join docs y on x.body = y.body and x.res and y.res and x.doc_id < y.doc_id), eo as (select * from e union all select doc_id, doc_id from docs where res), {_components_sql('eo')},
 r13 as (select * from g13 where gram not in (select gram from t13)), h13 as (select r13.doc_id, unnest(range(r13.pos, r13.pos + 13)) place from r13 where gram in (select gram from g13a join docs using (doc_id) where not res)), c13 as (select doc_id, count(distinct place) covered from h13 group by 1),
 x1 as (select x.doc_id node from docs x where x.res and x.body <> '' and x.body in (select body from docs where not res)), x2 as (select distinct a node from p where {_NEAR}),
@@ -405,7 +406,7 @@ def group_decision(spark, sf):
     b = bodies(spark, sf)
     mine, theirs = b.where("reserved"), b.where("not reserved")
     one, other = materialize(representatives(mine), "contents"), materialize(representatives(theirs), "references")
-    groups = connected_components(_edges(mine))
+    groups = connected_components(_edges(mine, FLOOR))
     members = mine.select(F.col("id").alias("node")).join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     exact = one.where("size(words) > 0").join(other.select("key"), "key", "left_semi").select("id")
     near = materialize(_near(one, other).select(F.col("a").alias("id")).distinct(), "near")

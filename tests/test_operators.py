@@ -174,7 +174,7 @@ def test_trees(spark):
     assert one(trees.terminal(F.col("t"))) == ["the", "cat", "sat", "("]
     assert one(trees.compressed(F.col("t"))) == ["<(S>", "<(NP>", "the", "cat", "<)>", "<(VP>", "sat", "(", "<)>"]
     assert one(F.size(trees.closes_times(F.col("t"), 2))) == 13 and one(F.size(trees.closes_times(F.col("t"), 3))) == 16
-    assert rows(trees.spans(p)) == sorted([(1, "S", 0, 3), (1, "NP", 0, 1), (1, "VP", 2, 3), (5, "X", 0, 0), (5, "X", 1, 1)], key=str)
+    assert rows(trees.spans(p).select("parse_id", "label", "l", "r")) == sorted([(1, "S", 0, 3), (1, "NP", 0, 1), (1, "VP", 2, 3), (5, "X", 0, 0), (5, "X", 1, 1)], key=str)
     assert {r.parse_id: r.balanced for r in trees.balance(trees.events(p)).collect()} == {1: True, 2: False, 5: True, 6: False}
     assert one(trees.framed(trees.framed(F.col("t")))) == ["<s>", *t[1], "</s>"]
     assert spark.createDataFrame([(["a", "<s>", "b"],)], "t array<string>").select(trees.framed(F.col("t"))).first()[0] is None
