@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.words import runs as run_hashes
+from corpusmill.session import drop as drop_tables
 from corpusmill.session import materialize
 
 
@@ -177,7 +178,8 @@ def pair_coverage(left: DataFrame, right: DataFrame, n: int, self_join: bool = F
         rows = rows.join(drop.select("h", "i"), ["h", "i"], "left_anti")
     rows = materialize(rows.groupBy("h", "i", "side", "id").agg(F.collect_list("pos").alias("at")), "runs")
     common = rows.groupBy("h", "i").agg(F.min("id" if self_join else "side").alias("low"), F.max("id" if self_join else "side").alias("high")).where("low < high").select("h", "i")
-    rows = materialize(rows.join(common, ["h", "i"], "left_semi"), "common")
+    every, rows = rows, materialize(rows.join(common, ["h", "i"], "left_semi"), "common")
+    drop_tables(every)
     x = rows.where("side = 0").select("h", "i", F.col("id").alias("a"), F.col("at").alias("pa"))
     y = (rows if self_join else rows.where("side = 1")).select("h", "i", F.col("id").alias("b"), F.col("at").alias("pb"))
     na, nb = left.select(F.col("id").alias("a"), F.size("words").alias("na")), (left if self_join else right).select(F.col("id").alias("b"), F.size("words").alias("nb"))
