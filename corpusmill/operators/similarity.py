@@ -100,15 +100,17 @@ def overlap_pairs(left: DataFrame, right: DataFrame, least: float, self_join: bo
     one of the rarest m - ceil(least * m) + 1. So the rare prefix of the smaller set is joined with
     the whole of the larger one. Runs that can't be shared come first in the order; hot runs
     (templates) fall out of prefixes. Candidates are verified on their runs."""
-    one = left.select(F.lit(0).alias("side"), "id", "words_n", "grams")
-    both = materialize(one if self_join else one.unionByName(right.select(F.lit(1).alias("side"), "id", "words_n", "grams")), "sets")
-    rows = both.select("side", "id", "words_n", F.size("grams").alias("m"), F.explode("grams").alias("h"))
-    shared = rows.groupBy("h").agg(F.count("*").alias("df"), F.min("side").alias("low"), F.max("side").alias("high")).where("df > 1" if self_join else "low < high").select("h", "df")
+    side = lambda d, k: d.select(F.lit(k).cast("tinyint").alias("side"), "id", F.explode("grams").alias("h"))
+    # one shuffle by run, used both to count and to pick the runs that can be shared
+    rows = (side(left, 0) if self_join else side(left, 0).unionByName(side(right, 1))).repartition("h")
+    shared = rows.groupBy("h").agg(F.count("id").alias("df"), F.min("side").alias("low"), F.max("side").alias("high")).where("df > 1" if self_join else "low < high").select("h", "df")
     met = materialize(rows.join(shared, "h"), "shared")
-    ordered = met.groupBy("side", "id", "words_n", "m").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("x"))
+    size = lambda d, k: d.select(F.lit(k).cast("tinyint").alias("side"), "id", "words_n", F.size("grams").alias("m"))
+    sizes = size(left, 0) if self_join else size(left, 0).unionByName(size(right, 1))
+    ordered = met.groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("x")).join(sizes, ["side", "id"])
     cut = F.expr(f"slice(x, 1, cast(greatest(0, size(x) - ceil({least} * m - 1e-9) + 1) as int))")
     p = ordered.select("side", F.col("id").alias("x"), F.col("words_n").alias("nx"), F.col("m").alias("mx"), F.explode(cut).alias("k")).select("side", "x", "nx", "mx", "k.h")
-    q = met.select(F.col("side").alias("other"), F.col("id").alias("y"), F.col("words_n").alias("ny"), F.col("m").alias("my"), "h")
+    q = met.join(sizes, ["side", "id"]).select(F.col("side").alias("other"), F.col("id").alias("y"), F.col("words_n").alias("ny"), F.col("m").alias("my"), "h")
     pairs = p.join(q, "h").where(F.col("mx") <= F.col("my"))
     if min_words:
         pairs = pairs.where((F.least("nx", "ny") >= min_words) | (F.col("mx") >= F.lit(least) * F.col("my") - 1e-9))
@@ -116,9 +118,9 @@ def overlap_pairs(left: DataFrame, right: DataFrame, least: float, self_join: bo
         pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     else:
         pairs = pairs.where("side <> other").select(F.when(F.col("side") == 0, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("side") == 0, F.col("y")).otherwise(F.col("x")).alias("b"))
-    l = both.where("side = 0").select(F.col("id").alias("a"), F.col("words_n").alias("na"), F.col("grams").alias("ga"))
-    r = both.where(f"side = {0 if self_join else 1}").select(F.col("id").alias("b"), F.col("words_n").alias("nb"), F.col("grams").alias("gb"))
-    found = pairs.distinct().join(l, "a").join(r, "b").withColumn("shared", F.size(F.array_intersect("ga", "gb")))
+    pairs = materialize(pairs.distinct(), "pairs")
+    of = lambda d, k: d.select(F.col("id").alias(k), F.col("words_n").alias(f"n{k}"), F.col("grams").alias(f"g{k}")).join(pairs.select(k).distinct(), k, "left_semi")
+    found = pairs.join(of(left, "a"), "a").join(of(left if self_join else right, "b"), "b").withColumn("shared", F.size(F.array_intersect("ga", "gb")))
     return found.where(F.col("shared") >= F.lit(least) * F.least(F.size("ga"), F.size("gb")) - 1e-9)
 
 
