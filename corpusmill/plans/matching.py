@@ -33,15 +33,21 @@ def worded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """worded() with a key of the whole text's words (SHA-256 of the body), written once."""
-    w = worded(spark, sf)
-    return materialize(w.withColumns({"key": F.sha2(F.array_join("words", " "), 256), "reserved": reserved()}), "bodies")
+    """(id, source, body, key, reserved): each document's matching text and a SHA-256 of it, written once.
+    As text it is a third of what its words are as an array."""
+    w = worded(spark, sf).select("id", "source", F.array_join("words", " ").alias("body"))
+    return materialize(w.withColumns({"key": F.sha2("body", 256), "reserved": reserved()}), "bodies")
+
+
+def split_words(b: DataFrame) -> DataFrame:
+    """b with the words of its bodies."""
+    return b.withColumn("words", F.when(F.col("body") == "", F.array().cast("array<string>")).otherwise(F.split("body", " ")))
 
 
 def representatives(b: DataFrame, *by: str) -> DataFrame:
-    """The rows of the smallest id of each content, within `by`."""
+    """The rows of the smallest id of each content, within `by`, with their words."""
     low = b.groupBy(*by, "key").agg(F.min("id").alias("id"))
-    return b.join(low.select("id"), "id", "left_semi")
+    return split_words(b.join(low.select("id"), "id", "left_semi"))
 
 
 def memberships(b: DataFrame, *by: str) -> DataFrame:
@@ -410,7 +416,7 @@ def group_decision(spark, sf):
     members = mine.select(F.col("id").alias("node")).join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     exact = one.where("size(words) > 0").join(other.select("key"), "key", "left_semi").select("id")
     near = materialize(_near(one, other).select(F.col("a").alias("id")).distinct(), "near")
-    covered = _masked(b.select("id", "source", "words")).where("try_divide(covered, words_n) >= 0.3").select("id").join(memberships(mine), "id").select(F.col("class_id").alias("id")).distinct()
+    covered = _masked(split_words(b).select("id", "source", "words")).where("try_divide(covered, words_n) >= 0.3").select("id").join(memberships(mine), "id").select(F.col("class_id").alias("id")).distinct()
     covered = covered.join(exact, "id", "left_anti").join(near, "id", "left_anti")
     k = _keyed(spark, sf)
     strict = k.where("reserved").join(k.where("not reserved").select("key").distinct(), "key", "left_semi").select(F.col("doc_id").alias("id"))
