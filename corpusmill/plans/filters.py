@@ -11,6 +11,7 @@ from corpusmill.operators import ordered
 from corpusmill.plans import SQL as QUERIES_SQL
 from corpusmill.plans import sql as Q
 from corpusmill.plans.registry import docs, query, table
+from corpusmill.session import spread
 
 
 def _lit(s: str) -> str:
@@ -80,7 +81,7 @@ _PAGE = f"{_lines('documents')}, dm as (select distinct doc_id from dom where n
 @query(f"with {_PAGE} select * from pr")
 def page_reasons(spark, sf):
     """Reasons of the page to leave a document out: all but formulas."""
-    d = docs(spark, sf).where("text is not null").select("doc_id", L.reasons(F.col("text")).alias("rs"))
+    d = spread(docs(spark, sf)).where("text is not null").select("doc_id", L.reasons(F.col("text")).alias("rs"))
     dm = dominant_line(spark, sf).select("doc_id", F.lit("dominant_repeated_line").alias("extra"))
     return d.join(dm, "doc_id", "left").select("doc_id", F.array_compact(F.array_append("rs", F.col("extra"))).alias("reasons"))
 
@@ -117,13 +118,13 @@ _FOUND = (
 @query(f"select * from ({_FOUND}) where occurrences > 0")
 def signals(spark, sf):
     """Occurrences of each visible signal in each document."""
-    return L.signal_rows(docs(spark, sf), "doc_id", "text")
+    return L.signal_rows(spread(docs(spark, sf)), "doc_id", "text")
 
 
 @query(None)
 def signal_examples(spark, sf):
     """The first two matches of each signal in each document."""
-    return L.signal_examples(docs(spark, sf), "doc_id", "text")
+    return L.signal_examples(spread(docs(spark, sf)), "doc_id", "text")
 
 
 @query(f"select signal, doc_id, occurrences, rn from (select *, row_number() over (partition by signal order by occurrences desc, doc_id) rn from ({_FOUND}) where occurrences > 0) where rn <= 15")
@@ -140,23 +141,23 @@ def signal_stats(spark, sf):
 @query(f"select doc_id, {_reasons('text', S.FORMULAS)} kinds from documents where text is not null and len({_reasons('text', S.FORMULAS)}) > 0")
 def formula_latex(spark, sf):
     """Documents with formulas that marks alone show: LaTeX, MathML, dollars or calculus signs."""
-    return docs(spark, sf).select("doc_id", L.reasons(F.col("text"), S.FORMULAS).alias("kinds")).where(F.size("kinds") > 0)
+    return spread(docs(spark, sf)).select("doc_id", L.reasons(F.col("text"), S.FORMULAS).alias("kinds")).where(F.size("kinds") > 0)
 
 
 @query(None)
 def formula_class(spark, sf):
     """Decision on formulas: certain ones drop a document, likely ones have it reviewed."""
-    return L.formula_rows(docs(spark, sf).where("text is not null"), "doc_id", "text").select("doc_id", "decision", "confirmed", "uncertain")
+    return L.formula_rows(spread(docs(spark, sf)).where("text is not null"), "doc_id", "text").select("doc_id", "decision", "confirmed", "uncertain")
 
 
 @query(None)
 def formula_signals(spark, sf):
     """Each signal of a formula with its place, at most 20 a document."""
-    return L.formula_rows(docs(spark, sf).where("text is not null"), "doc_id", "text").select("doc_id", F.explode("signals").alias("s")).select("doc_id", "s.*")
+    return L.formula_rows(spread(docs(spark, sf)).where("text is not null"), "doc_id", "text").select("doc_id", F.explode("signals").alias("s")).select("doc_id", "s.*")
 
 
 def _decided(spark, sf):
-    return L.formula_rows(docs(spark, sf).where("text is not null"), "doc_id", "text")
+    return L.formula_rows(spread(docs(spark, sf)).where("text is not null"), "doc_id", "text")
 
 
 @query(None)
@@ -241,13 +242,13 @@ def _chained(spark, sf):
 @query(f"with {_REPETITION} select * from rs")
 def repetition_statistics(spark, sf):
     """The counts behind the published rules on repetition."""
-    return L.repetition_statistics(docs(spark, sf), "doc_id", "text")
+    return L.repetition_statistics(spread(docs(spark, sf)), "doc_id", "text")
 
 
 @query(f"with {_STATS} select * from st")
 def chain_statistics(spark, sf):
     """The counts behind the published quality rules."""
-    return L.chain_statistics(docs(spark, sf), "doc_id", "text")
+    return L.chain_statistics(spread(docs(spark, sf)), "doc_id", "text")
 
 
 @query(f"with {_REPETITION}, {_STATS}, ch as (select doc_id, {_FAILED} failed from st join rs using (doc_id)) select doc_id, failed, failed[1] first_failure from ch")
@@ -276,7 +277,7 @@ b as (select doc_id, period, unnest(range(period + 1, len(ws) + 1)) i, unnest(li
 select doc_id, period::int period, (count(*) + period) // period times from r group by doc_id, period, g having (count(*) + period) // period >= 3""")
 def periodic(spark, sf):
     """Stretches of words that repeat with a short period."""
-    d = docs(spark, sf).where("text is not null").select("doc_id", X.tokens(F.col("text")).alias("ws"))
+    d = spread(docs(spark, sf)).where("text is not null").select("doc_id", X.tokens(F.col("text")).alias("ws"))
     return L.periodic(d, "doc_id", "ws")
 
 
