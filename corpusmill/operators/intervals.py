@@ -12,5 +12,6 @@ def interval_join(points: DataFrame, intervals: DataFrame, by: Sequence[str], po
     """Points joined with the intervals that hold them (start <= pos < end) within `by`. Both sides go
     to cells of equal width, so it is an equi-join whose keys spread a hot `by` over its cells; an
     interval is in as many cells as it touches. Empty intervals hold nothing; nulls match nothing."""
-    cells = intervals.where(F.col(end) > F.col(start)).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
-    return points.withColumn("_cell", F.floor(F.col(pos) / width)).join(cells, [*by, "_cell"]).where((F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(end))).drop("_cell")
+    at = lambda c: c.cast("bigint") - F.pmod(c.cast("bigint"), F.lit(width).cast("bigint"))  # noqa: E731  # a cell's first place, in whole numbers
+    cells = intervals.where(F.col(end) > F.col(start)).withColumn("_cell", F.explode(F.sequence(at(F.col(start)), at(F.col(end) - 1), F.lit(width).cast("bigint"))))
+    return points.withColumn("_cell", at(F.col(pos))).join(cells, [*by, "_cell"]).where((F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(end))).drop("_cell")

@@ -435,3 +435,9 @@ def test_interval_lookup_reaches_each_shards_end(spark, tmp_path):
     given = [("a", 0, 0, 700), ("a", 1, 700, 1001), ("b", 0, 0, 400)]
     spark.createDataFrame(given, "source_shard string, ordinal int, start_tok long, end_tok long").write.parquet(str(tmp_path / "records.parquet"))
     assert rows(split_plans.interval_lookup(spark, str(tmp_path))) == [("a", 0, 0), ("a", 1000, 700), ("a", 500, 0), ("b", 0, 0)]
+
+
+def test_anchor_lookup_of_large_ordinals(spark, tmp_path):
+    given = [("a", 0, 0, 20, 1), ("a", 30_000_000, 2_910_000_000, 2_910_000_020, 2)]
+    spark.createDataFrame(given, "source_shard string, ordinal int, start_tok long, end_tok long, record_id long").write.parquet(str(tmp_path / "records.parquet"))
+    assert rows(split_plans.anchor_lookup(spark, str(tmp_path))) == [("a", 0, 13, 1), ("a", 30_000_000, 2_910_000_013, 2)]
