@@ -12,7 +12,7 @@ from corpusmill.functions import text as X
 from corpusmill.functions.words import runs, word_hashes, words
 from corpusmill.operators import dedup, filters, metrics, ordered, similarity, splits, streams, trees
 from corpusmill.operators.graph import connected_components
-from corpusmill.operators.intervals import interval_join
+from corpusmill.operators.intervals import interval_join, steps_in
 from corpusmill.operators.packing import greedy_chunks
 from corpusmill.operators.splitting import cut_long, split_sentences, split_words
 from corpusmill.plans import matching, texts
@@ -441,3 +441,17 @@ def test_anchor_lookup_of_large_ordinals(spark, tmp_path):
     given = [("a", 0, 0, 20, 1), ("a", 30_000_000, 2_910_000_000, 2_910_000_020, 2)]
     spark.createDataFrame(given, "source_shard string, ordinal int, start_tok long, end_tok long, record_id long").write.parquet(str(tmp_path / "records.parquet"))
     assert rows(split_plans.anchor_lookup(spark, str(tmp_path))) == [("a", 0, 13, 1), ("a", 30_000_000, 2_910_000_013, 2)]
+
+
+def test_steps_in_intervals_of_any_place_and_length(spark):
+    given = [(0, 700), (700, 1001), (-600, 1), (499, 500), (7, 7), (9, 3), (500, 501), (None, 900), (3, None)]
+    want = [(a, b, p) for a, b in given if None not in (a, b) for p in range(0, 2000, 500) if a <= p < b]
+    df = spark.createDataFrame(given, "a long, b long")
+    assert rows(steps_in(df.where("a is not null"), "a", "b", 500, "p", 2)) == sorted(want, key=str)
+    assert steps_in(spark.createDataFrame([(0, 1_000_001)], "a long, b long"), "a", "b", 1, "p", 1000).distinct().count() == 1_000_001
+
+
+def test_interval_lookup_makes_no_grid(spark, tmp_path):
+    far = 10**13
+    spark.createDataFrame([("a", far, far + 600), (None, 0, 900)], "source_shard string, start_tok long, end_tok long").write.parquet(str(tmp_path / "records.parquet"))
+    assert rows(split_plans.interval_lookup(spark, str(tmp_path))) == [("a", far, far), ("a", far + 500, far)]
