@@ -16,6 +16,7 @@ from corpusmill.operators.intervals import interval_join, steps_in
 from corpusmill.operators.packing import greedy_chunks
 from corpusmill.operators.splitting import cut_long, split_sentences, split_words
 from corpusmill.plans import matching, texts
+from corpusmill.plans import metrics as metric_plans
 from corpusmill.plans import splits as split_plans
 from corpusmill.sources import files
 from corpusmill.streaming import incremental
@@ -455,3 +456,12 @@ def test_interval_lookup_makes_no_grid(spark, tmp_path):
     far = 10**13
     spark.createDataFrame([("a", far, far + 600), (None, 0, 900)], "source_shard string, start_tok long, end_tok long").write.parquet(str(tmp_path / "records.parquet"))
     assert rows(split_plans.interval_lookup(spark, str(tmp_path))) == [("a", far, far), ("a", far + 500, far)]
+
+
+def test_sentence_cover_takes_the_tolerance_as_written(spark, tmp_path):
+    scores = {1: (-3.000001, -1.0, -2.0), 2: (-100.0000011, -60.0, -40.0), 3: (float("nan"), 0.0, 0.0), 4: (-3.0, None, -3.0), 5: (float("-inf"), -1.0, -1.0), 6: (-3.0, -1.0, -2.0)}
+    assert abs(-3.000001 - (-1.0 - 2.0)) > 1e-6  # in doubles
+    given = [("r", "t", d, 0, *x, None) for d, x in scores.items()]
+    spark.createDataFrame(given, "run_name string, task string, doc_id long, cont_id int, full_score_raw double, term_score_raw double, nt_score_raw double, scored_at timestamp").write.parquet(str(tmp_path / "choice_scores.parquet"))
+    got = metric_plans.sentence_cover(spark, str(tmp_path)).select("documents", "without_score", "sums_differ")
+    assert rows(got) == [(6, 1, 3)]  # 2, 3 and 5
