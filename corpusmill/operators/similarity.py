@@ -82,6 +82,191 @@ def run_rows(docs: DataFrame, id: str, words: str, n: int) -> DataFrame:
     return docs.select(id, words).mapInArrow(_positioned(n), f"`{id}` {docs.schema[id].dataType.simpleString()}, pos int, h bigint, i bigint")
 
 
+#: Hash buckets of shared_runs: the upper bits of a run's hash; 32 more are sent.
+_BUCKETS = 1024
+
+
+def _planes(keys: np.ndarray) -> bytes:
+    """Sorted 32-bit keys byte by byte of all, the highest first, which compresses."""
+    return np.ascontiguousarray(keys.astype(">u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(">u4").reshape(-1).astype(np.uint32)
+
+
+def _split(bodies: pa.Array) -> pa.ListArray:
+    return pc.split_pattern(bodies, " ").cast(pa.list_(pa.string()))
+
+
+def _slots(flat: np.ndarray) -> np.ndarray:
+    """Bucket and 32 bits more of each hash, as one number."""
+    return flat.view(np.uint64) >> np.uint64(22)
+
+
+def _told(ns: tuple[int, ...]):
+    """(id, body, side, block) to (n, bucket, block, side, keys, df): the runs of the documents of a batch
+    and block, each once, with the number of these documents that have it, 255 at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(3).to_numpy().astype(np.int64) * 2 + batch.column(2).to_numpy()
+            for own in np.unique(place).tolist():
+                words = _split(batch.column(1).filter(pa.array(place == own)))
+                for n in ns:
+                    flat, count = _hashed(words, n)
+                    if not len(flat):
+                        continue
+                    slot, doc = _slots(flat), np.repeat(np.arange(len(count)), count)
+                    order = np.lexsort((doc, slot))
+                    slot, doc = slot[order], doc[order]
+                    slot = slot[np.concatenate([[True], (slot[1:] != slot[:-1]) | (doc[1:] != doc[:-1])])]
+                    slot, df = np.unique(slot, return_counts=True)
+                    bucket = (slot >> np.uint64(32)).astype(np.int32)
+                    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
+                    ends = [*cuts[1:], len(slot)]
+                    low, df = (slot & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(df, 255).astype(np.uint8)
+                    k = len(cuts)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([n] * k, pa.int32()), pa.array(bucket[cuts]), pa.array([own // 2] * k, pa.int32()), pa.array([own % 2] * k, pa.int32()), pa.array([_planes(low[a:b]) for a, b in zip(cuts, ends)], pa.binary()), pa.array([df[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())],
+                        ["n", "bucket", "block", "side", "keys", "df"],
+                    )
+
+    return run
+
+
+def _answered(self_join: bool):
+    """All of a bucket to (n, bucket, block, keys, df): for each block those of its runs that another document,
+    or one of the other side, has, with the number of documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        every = [_unplaned(x) for x in table["keys"].to_pylist()]
+        sizes = np.array([len(x) for x in every])
+        keys, at = np.unique(np.concatenate(every), return_inverse=True)
+        df = np.frombuffer(b"".join(table["df"].to_pylist()), np.uint8)
+        total = np.bincount(at, df, len(keys))
+        side = np.repeat(table["side"].to_numpy(), sizes)
+        shared = total > 1 if self_join else (np.bincount(at, side == 0, len(keys)) > 0) & (np.bincount(at, side == 1, len(keys)) > 0)
+        block, out = np.repeat(table["block"].to_numpy(), sizes), []
+        kept = shared[at]
+        block, at = block[kept], at[kept]
+        order = np.lexsort((at, block))
+        block, at = block[order], at[order]
+        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist() if len(at) else []
+        for a, b in zip(cuts, [*cuts[1:], len(at)]):
+            own = np.unique(at[a:b])
+            out.append((int(block[a]), _planes(keys[own]), np.minimum(total[own], 255).astype(np.uint8).tobytes()))
+        n, bucket = table["n"][0].as_py(), table["bucket"][0].as_py()
+        return pa.table([pa.array([n] * len(out), pa.int32()), pa.array([bucket] * len(out), pa.int32()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["n", "bucket", "block", "keys", "df"])
+
+    return run
+
+
+def _kept_runs(ns: tuple[int, ...], places: tuple[int, ...]):
+    """A block's documents and its answers to a row for each document and n."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        for n in ns:
+            mine = answers.filter(pc.equal(answers["n"], n)).sort_by("bucket")
+            if not mine.num_rows:
+                continue
+            every = [_unplaned(x) for x in mine["keys"].to_pylist()]
+            known = np.concatenate([x.astype(np.uint64) | (np.uint64(k) << np.uint64(32)) for k, x in zip(mine["bucket"].to_pylist(), every)])
+            df = np.frombuffer(b"".join(mine["df"].to_pylist()), np.uint8)
+            for chunk in docs.to_batches(max_chunksize=4000):
+                words = _split(chunk.column("body"))
+                h, count = _hashed(words, n)
+                i, _ = _hashed(words, n, 1)
+                if not len(h):
+                    continue
+                doc = np.repeat(np.arange(len(count)), count)
+                pos = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count) + 1
+                order = np.lexsort((h, doc))
+                new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])])
+                m = np.bincount(doc[order][new], minlength=len(count))  # different runs
+                slot = _slots(h)
+                found = np.minimum(np.searchsorted(known, slot), len(known) - 1)
+                hit = known[found] == slot
+                doc, pos, h, i, rare = doc[hit], pos[hit], h[hit], i[hit], df[found[hit]]
+                order = np.lexsort((pos, h, rare, doc))  # a document's runs, the rarest first
+                if n not in places:
+                    order = order[np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])])] if len(order) else order
+                own = np.bincount(doc[order], minlength=len(count))
+                some = own > 0
+                parts = [_lists(x[order], own[some]) if n in places or x is h else pa.nulls(int(some.sum()), pa.list_(pa.int64())) for x in (pos, h, i)]
+                out.append(pa.table([pa.array([n] * int(some.sum()), pa.int32()), chunk.column("side").filter(pa.array(some)), chunk.column("id").filter(pa.array(some)), pa.array(pc.list_value_length(words).to_numpy(zero_copy_only=False)[some].astype(np.int32)), pa.array(m[some].astype(np.int32)), *parts], ["n", "side", "id", "words_n", "m", "at", "h", "i"]))
+        empty = pa.schema([("n", pa.int32()), ("side", pa.int32()), ("id", docs.schema.field("id").type), ("words_n", pa.int32()), ("m", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("at", "h", "i"))])
+        return pa.concat_tables([t.cast(empty) for t in out]) if out else empty.empty_table()
+
+    return run
+
+
+def shared_runs(docs: DataFrame, ns: tuple[int, ...], places: tuple[int, ...], self_join: bool) -> DataFrame:
+    """(n, side, id, words_n, m, at, h, i), written once: for each document and each n of ns the runs of n words
+    that another document (self_join) or one of the other side has too: their places, and 128 bits of each, those
+    that the fewest documents have first. m: how many different runs the document has. Documents without
+    such a run are left out. For an n that isn't in `places`, each different run has its 64-bit hash h once, and at and
+    i are null. docs: (id, body, side, block), body being words with a space between, side 0 or 1,
+    block a part of documents that fits in memory; a document is in one block.
+
+    Most runs are one document's alone, so they aren't sent about as rows. Each block tells its runs, as sorted
+    42-bit keys in 1,024 buckets, 3 to 4 bytes a run; a bucket answers which others have; only these become
+    rows. Two runs with one key let a run through that no other has: it meets nothing on 128 bits."""
+    told = docs.select("id", "body", "side", "block").mapInArrow(_told(ns), "n int, bucket int, block int, side int, keys binary, df binary")
+    answers = told.groupBy("n", "bucket").applyInArrow(_answered(self_join), "n int, bucket int, block int, keys binary, df binary")
+    kind = docs.schema["id"].dataType.simpleString()
+    both = docs.select("id", "body", "side", "block").groupBy("block").cogroup(answers.groupBy("block"))
+    return materialize(both.applyInArrow(_kept_runs(ns, places), f"n int, side int, id {kind}, words_n int, m int, at array<bigint>, h array<bigint>, i array<bigint>"), "shared")
+
+
+def overlapping(runs: DataFrame, least: float, min_words: int = 0) -> DataFrame:
+    """overlap_pairs() within one set of documents, of shared_runs() of one n without places: a < b, without ga and gb but with
+    ma and mb. Any so many runs of the smaller set serve as its prefix, so the rarest are taken as they come."""
+    one = runs.select("id", "words_n", "m", F.col("h").alias("g"))
+    need = F.ceil(F.lit(least) * F.col("m") - 1e-9)
+    p = one.select(F.col("id").alias("x"), F.col("words_n").alias("nx"), F.col("m").alias("mx"), F.explode(F.slice("g", F.lit(1), F.greatest(F.lit(0), F.size("g") - need + 1).cast("int"))).alias("h"))
+    q = one.select(F.col("id").alias("y"), F.col("words_n").alias("ny"), F.col("m").alias("my"), F.explode("g").alias("h"))
+    pairs = p.join(q, "h").where("mx <= my and x <> y")
+    if min_words:
+        pairs = pairs.where((F.least("nx", "ny") >= min_words) | (F.col("mx") >= F.lit(least) * F.col("my") - 1e-9))
+    pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    of = lambda k: one.select(F.col("id").alias(k), F.col("words_n").alias(f"n{k}"), F.col("m").alias(f"m{k}"), F.col("g").alias(f"g{k}")).join(pairs.select(k).distinct(), k, "left_semi")
+    found = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.size(F.array_intersect("ga", "gb"))).drop("ga", "gb")
+    return found.where(F.col("shared") >= F.lit(least) * F.least("ma", "mb") - 1e-9)
+
+
+def shared_pairs(runs: DataFrame) -> DataFrame:
+    """shared_counts() of shared_runs() of one n without places and two sides. Runs that the same documents of both sides have are
+    joined as one with their number, so a template costs its pairs once, not once for each of its runs."""
+    sides = runs.select("side", "id", F.explode("h").alias("h"))
+    own = lambda k: F.array_sort(F.collect_list(F.when(F.col("side") == k, F.col("id"))))
+    posts = sides.groupBy("h").agg(own(0).alias("xs"), own(1).alias("ys")).where("size(xs) > 0 and size(ys) > 0")
+    key = F.sha2(F.concat_ws("|", F.concat_ws(",", F.col("xs").cast("array<string>")), F.concat_ws(",", F.col("ys").cast("array<string>"))), 256)
+    groups = posts.groupBy(key.alias("k")).agg(F.any_value("xs").alias("xs"), F.any_value("ys").alias("ys"), F.count("*").alias("runs"))
+    pairs = groups.select("runs", "ys", F.explode("xs").alias("a")).select("runs", "a", F.explode("ys").alias("b")).groupBy("a", "b").agg(F.sum("runs").alias("shared"))
+    sizes = lambda side, k: runs.where(F.col("side") == side).select(F.col("id").alias(k), F.col("m").alias(f"m{k}"), F.col("words_n").alias(f"n{k}"))
+    return pairs.join(sizes(0, "a"), "a").join(sizes(1, "b"), "b")
+
+
+def placed(runs: DataFrame) -> DataFrame:
+    """(side, id, words_n, pos, h, i): a row for each run of shared_runs()."""
+    return runs.select("side", "id", "words_n", F.explode(F.arrays_zip("at", "h", "i")).alias("r")).select("side", "id", "words_n", F.col("r.at").cast("int").alias("pos"), "r.h", "r.i")
+
+
+def covered(rows: DataFrame, n: int) -> DataFrame:
+    """(id, covered): words of the documents of side 0 in runs that side 1 has too, of placed() rows; documents
+    without one are left out."""
+    known = rows.where("side = 1").select("h", "i").distinct()
+    hit = rows.where("side = 0").join(known, ["h", "i"], "left_semi")
+    return hit.groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("at")).select("id", _covered("at", n).alias("covered"))
+
+
+def frequent(rows: DataFrame, least: int) -> DataFrame:
+    """(h, i) of the runs of placed() that `least` documents have, 2 or more."""
+    return rows.groupBy("h", "i").agg(F.countDistinct("id").alias("df")).where(F.col("df") >= least).select("h", "i")
+
+
 def classes(docs: DataFrame, id: str, words: str) -> DataFrame:
     """(id, class_id): the smallest id of the documents with the same words in the same order, by 128
     bits. Documents without words are one class."""
@@ -128,14 +313,13 @@ def jaccard() -> Column:
     return F.col("shared") / (F.size("ga") + F.size("gb") - F.col("shared"))
 
 
-def containment() -> Column:
-    return F.col("shared") / F.least(F.size("ga"), F.size("gb"))
-
-
 def near(pairs: DataFrame, threshold: float = 0.8, min_words: int = 50, min_shared: int = 20) -> DataFrame:
     """(a, b, jaccard, containment) of near pairs: similar as sets, or the smaller one, if both are
     long enough, is for the most part in the larger."""
-    scored = pairs.select("a", "b", "na", "nb", "shared", jaccard().alias("jaccard"), containment().alias("containment"))
+    if "ma" not in pairs.columns:
+        pairs = pairs.withColumns({"ma": F.size("ga"), "mb": F.size("gb")})
+    j, c = F.col("shared") / (F.col("ma") + F.col("mb") - F.col("shared")), F.col("shared") / F.least("ma", "mb")
+    scored = pairs.select("a", "b", "na", "nb", "shared", j.alias("jaccard"), c.alias("containment"))
     return scored.where((F.col("jaccard") >= threshold) | ((F.col("containment") >= threshold) & (F.least("na", "nb") >= min_words) & (F.col("shared") >= min_shared))).select("a", "b", "jaccard", "containment")
 
 
@@ -178,14 +362,22 @@ def pair_coverage(left: DataFrame, right: DataFrame, n: int, self_join: bool = F
     rows = one if self_join else one.unionByName(run_rows(right, "id", "words", n).withColumn("side", F.lit(1)))
     if drop is not None:
         rows = rows.join(drop.select("h", "i"), ["h", "i"], "left_anti")
+    na, nb = left.select(F.col("id").alias("a"), F.size("words").alias("na")), (left if self_join else right).select(F.col("id").alias("b"), F.size("words").alias("nb"))
+    return covered_pairs(rows, na, nb, n, self_join, least)
+
+
+def covered_pairs(rows: DataFrame, na: DataFrame, nb: DataFrame, n: int, self_join: bool = False, least: float = 0.0) -> DataFrame:
+    """pair_coverage() from rows (side, id, pos, h, i) of runs, na (a, na) and nb (b, nb). Runs that the same
+    documents have are joined as one, under 128 bits of the set of these, with the places of all: a passage that
+    two documents share is one row of the join, not one for each of its words."""
     rows = materialize(rows.groupBy("h", "i", "side", "id").agg(F.collect_list("pos").alias("at")), "runs")
-    common = rows.groupBy("h", "i").agg(F.min("id" if self_join else "side").alias("low"), F.max("id" if self_join else "side").alias("high")).where("low < high").select("h", "i")
-    every, rows = rows, materialize(rows.join(common, ["h", "i"], "left_semi"), "common")
+    name = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "side", "id"))
+    common = rows.groupBy("h", "i").agg(F.min("id" if self_join else "side").alias("low"), F.max("id" if self_join else "side").alias("high"), name(1).alias("k"), name(2).alias("l")).where("low < high").select("h", "i", "k", "l")
+    every, rows = rows, materialize(rows.join(common, ["h", "i"]).groupBy("k", "l", "side", "id").agg(F.flatten(F.collect_list("at")).alias("at")), "common")
     drop_tables(every)
-    x = rows.where("side = 0").select("h", "i", F.col("id").alias("a"), F.col("at").alias("pa"))
-    y = (rows if self_join else rows.where("side = 1")).select("h", "i", F.col("id").alias("b"), F.col("at").alias("pb"))
-    na, nb = left.select(F.col("id").alias("a"), F.size("words").alias("na")), (left if self_join else right).select(F.col("id").alias("b"), F.size("words").alias("nb"))
-    met = x.join(y, ["h", "i"])
+    x = rows.where("side = 0").select("k", "l", F.col("id").alias("a"), F.col("at").alias("pa"))
+    y = (rows if self_join else rows.where("side = 1")).select("k", "l", F.col("id").alias("b"), F.col("at").alias("pb"))
+    met = x.join(y, ["k", "l"])
     met = met.where("a < b") if self_join else met
     if least:
         told = met.groupBy("a", "b").agg(F.sum(F.size("pa")).alias("ka"), F.sum(F.size("pb")).alias("kb")).join(na, "a").join(nb, "b")

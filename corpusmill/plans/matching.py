@@ -50,6 +50,14 @@ def representatives(b: DataFrame, *by: str) -> DataFrame:
     return split_words(b.join(low.select("id"), "id", "left_semi"))
 
 
+def blocks(b: DataFrame, *by: str) -> DataFrame:
+    """(id, body, side, block): the rows of the smallest id of each content, within `by`, written once in
+    blocks of as much as a task wrote; side is 1 for the historical ones where `by` tells them apart."""
+    low = b.groupBy(*by, "key").agg(F.min("id").alias("id"))
+    side = F.when(F.col("reserved"), 0).otherwise(1) if by else F.lit(0)
+    return materialize(b.join(low.select("id"), "id", "left_semi").select("id", "body", side.cast("int").alias("side"), F.spark_partition_id().alias("block")), "contents")
+
+
 def memberships(b: DataFrame, *by: str) -> DataFrame:
     """(id, class_id) of every row, within `by`."""
     low = b.groupBy(*by, "key").agg(F.min("id").alias("class_id"))
@@ -276,11 +284,16 @@ _CONTENT = f"{_REPS}, {_SETS}, {_pairs(_WITHIN)}, {Q.grams(13, 'g13')}, {_partia
 
 def _edges(b: DataFrame, floor: int) -> DataFrame:
     """Exact, near and partial edges within the contents of b."""
-    one = materialize(representatives(b).select("id", "words"), "contents")
+    one = blocks(b)
     named = lambda pairs, reason, value: pairs.select("a", "b", F.lit(reason).alias("reason"), F.lit(value).alias("jaccard"), F.lit(value).alias("containment"))
     exact = memberships(b).where("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b"))
-    near = _near(one, one, True).select("a", "b", F.lit("near").alias("reason"), "jaccard", "containment")
-    partial = S.partial_pairs(one, drop=S.template_keys(one, 13, floor))
+    runs = S.shared_runs(one, (5, 13), (13,), True)
+    near = S.near(S.overlapping(runs.where("n = 5"), 0.8, 50)).select("a", "b", F.lit("near").alias("reason"), "jaccard", "containment")
+    rows = S.placed(runs.where("n = 13"))
+    rows = rows.where("words_n >= 50").join(S.frequent(rows, max(floor, -(-one.count() // 100))), ["h", "i"], "left_anti")
+    long = lambda k: runs.where("n = 13 and words_n >= 50").select(F.col("id").alias(k), F.col("words_n").alias(f"n{k}"))
+    both = S.covered_pairs(rows, long("a"), long("b"), 13, True, 0.3)
+    partial = both.where("ca / na >= 0.3 or cb / nb >= 0.3").select("a", "b")
     return near.unionByName(named(exact, "exact", 1.0)).unionByName(named(partial, "partial", 0.0))
 
 

@@ -465,3 +465,41 @@ def test_sentence_cover_takes_the_tolerance_as_written(spark, tmp_path):
     spark.createDataFrame(given, "run_name string, task string, doc_id long, cont_id int, full_score_raw double, term_score_raw double, nt_score_raw double, scored_at timestamp").write.parquet(str(tmp_path / "choice_scores.parquet"))
     got = metric_plans.sentence_cover(spark, str(tmp_path)).select("documents", "without_score", "sums_differ")
     assert rows(got) == [(6, 1, 3)]  # 2, 3 and 5
+
+
+def edited(seed):
+    """Documents of two sides with copies, passages, a template, repeats, and texts too short for runs."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(400)}"
+    base, tail = [[word() for _ in range(90)] for _ in range(4)], [f"t{k}" for k in range(25)]
+    docs = []
+    for k in range(40):
+        w = list(base[k % 4])
+        for _ in range(k % 7):
+            w[rng.randrange(len(w))] = word()
+        docs.append([w, w[10 : 10 + k], w + tail, [word() for _ in range(60)] + tail + tail, w[:30] * 2, ["a"] * (k % 9)][rng.randrange(6)])
+    return [(k, w) for k, w in enumerate(docs)]
+
+
+@pytest.mark.parametrize("self_join", [True, False])
+def test_shared_runs_give_what_all_runs_give(spark, self_join):
+    docs = spark.createDataFrame(edited(3), "id long, words array<string>").withColumn("side", F.lit(0) if self_join else (F.col("id") % 2).cast("int"))
+    left, right = (docs, docs) if self_join else (docs.where("side = 0"), docs.where("side = 1"))
+    runs = similarity.shared_runs(docs.select("id", F.array_join("words", " ").alias("body"), "side", (F.col("id") % 3).cast("int").alias("block")), (5, 13), (13,), self_join)
+    five, sets = runs.where("n = 5"), [similarity.gram_sets(d, "id", "words", 5) for d in (left, right)]
+    if self_join:
+        want = similarity.overlap_pairs(*sets, 0.8, True, 50)
+        assert rows(similarity.near(similarity.overlapping(five, 0.8, 50))) == rows(similarity.near(want)) != []
+    else:
+        assert rows(similarity.shared_pairs(five).select("a", "b", "ma", "mb", "na", "nb", "shared")) == rows(similarity.shared_counts(*sets).select("a", "b", "ma", "mb", "na", "nb", "shared")) != []
+    placed = similarity.placed(runs.where("n = 13"))
+    sizes = [runs.where("n = 13").select(F.col("id").alias(k), F.col("words_n").alias(f"n{k}")) for k in "ab"]
+    assert rows(similarity.covered_pairs(placed, *sizes, 13, self_join, 0.3)) == rows(similarity.pair_coverage(left, right, 13, self_join, least=0.3)) != []
+    if not self_join:
+        assert rows(similarity.covered(placed, 13)) == rows(similarity.coverage(left, right, 13).where("covered > 0").select("id", "covered"))
+
+
+def test_shared_runs_leave_out_what_one_document_has(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f a b c d e"), (2, "x b c d e f y"), (3, "p q r s t")], "id long, body string").withColumns({"side": F.lit(0), "block": F.col("id").cast("int")})
+    runs = similarity.shared_runs(docs, (5,), (5,), True)
+    assert rows(runs.select("id", "words_n", "m", F.col("at").cast("string"))) == [(1, 11, 6, "[2]"), (2, 7, 3, "[2]")]
