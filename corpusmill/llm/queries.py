@@ -48,7 +48,7 @@ def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_residue(spark: SparkSession, sf: str) -> DataFrame:
-    return residue.residue(_t(spark, sf, "documents"), _t(spark, sf, "labels"))
+    return residue.residue(_t(spark, sf, "documents"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -117,7 +117,7 @@ STAND_INS = (
     + ["content coming soon", "description coming soon", "to be added", "to be written", "text to follow", "more text here", "tbd", "todo: write this", "xxx", "untitled document", "hello world! this is your first post. edit or delete it, then start writing!", "the quick brown fox jumps over the lazy dog", "hier steht ihr text", "platzhaltertext", "votre texte ici", "texte à venir", "su texto aquí", "texto de ejemplo", "testo segnaposto", "uw tekst hier"]
 )
 
-#: Plain sentences for the model of prose, which a sample of the corpus adds to.
+#: Plain sentences for the model of prose, which the corpus adds to.
 PROSE = """
 She put the letter back into the drawer and went out to feed the hens.
 After the storm the farmers walked along the dike to see what the water had taken.

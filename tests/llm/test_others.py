@@ -186,3 +186,38 @@ def test_residue_table(spark):
 def test_models_are_distributions():
     m = residue.Model(residue_seeds.notices()[:200])
     assert np.allclose(m.p.reshape(-1, residue.SIZE).sum(1), 1, atol=1e-3)
+
+
+def test_residue_learns_from_every_text(spark):
+    """Models come from all texts in full: not from labelled ones, nor from some lines of each."""
+    rng = random.Random(8)
+    makers = ["".join(rng.choice("bdfgklmnrst") + rng.choice("aeiou") for _ in range(3)) for _ in range(40)]
+    long = "\n".join(f"{rng.choice(makers)} server error {rng.choice(makers)} {rng.choice(makers)}" for _ in range(400))
+    rows = [(k, f"Fatal error in {makers[k]} was a song by {makers[-k]}.\n" + (long if k == 3 else PROSE)) for k in range(40)] + [(98, "404 Not Found"), (99, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = [t for _, t in rows if t]
+    tables = residue.fit(texts)
+    for got in (residue.fit_table(df), residue.fit(texts[::-1])):
+        assert all((a == b).all() for a, b in zip(tables, got))
+    labels = spark.createDataFrame([(3, 5, 0)], "doc_id long, quality int, toxic int")
+    want = sorted((k, residue._size(residue.spans(residue.normal(t or ""), *tables))) for k, t in rows)
+    assert sorted((r.doc_id, r.chars) for r in residue.residue(df, labels).collect()) == want and dict(want)[98] == 13 and dict(want)[3] == 0
+    counts = residue.tally(texts, None)
+    content = sum(len(x) + 3 for t in texts[:40] for x in t.split("\n") if x.strip())  # each with line ends
+    assert counts[1][counts[0] < residue.GRAMS].sum() >= content
+
+
+def test_texts_are_scored_together_as_alone(tables):
+    rng = random.Random(9)
+    parts = ["404 Not Found", "Please enable JavaScript.", "{{ name }}", "${user_id}", '"page not found"', "@@x_y@@", "&lt;your name&gt;", "lorem ipsum dolor sit amet", PROSE, GERMAN, "\n", "\n\n", " ", ". ", "! ", "a", "é", "\ud800", "\x00", "[insert city here]", "Something went wrong. Please try again later."]
+    texts = [residue.normal("".join(rng.choice(parts) for _ in range(rng.randrange(7)))) for _ in range(1500)]
+    got = [x for part in residue.chunks(texts) for x in residue.located(part, *tables)]
+    assert got == [residue.spans(t, *tables) for t in texts] and sum(map(bool, got)) > 300
+
+
+def test_line_is_scored_without_its_neighbours(tables):
+    line = "Please enable JavaScript in your browser to continue."
+    n = len(line)
+    alone = residue.grams([line])[1][:n]
+    for before in ("a\n", "the prime of\n", "x.\n\n"):
+        assert (residue.grams([before + line])[1][len(before) :][:n] == alone).all()
