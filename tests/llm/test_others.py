@@ -228,3 +228,11 @@ def test_models_do_not_hang_on_the_size_of_the_corpus(monkeypatch):
     monkeypatch.setattr(residue, "WEIGHT", 500)
     for a, b in zip(residue.fit(texts), residue.fit(texts * 30)):
         assert np.abs(a.astype(int) - b).max() <= 1
+
+
+def test_content_of_unlabelled_documents_is_learnt(spark):
+    """Lines that look like a notice until the texts that have them are counted, none of them labelled."""
+    lists = PROSE + "\n" + "\n".join(f"Access road {k}\nAvailable from {k}" for k in range(60))
+    df = spark.createDataFrame([(0, PROSE), (99, "404 Not Found")] + [(k, lists) for k in range(1, 21)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 5, 0)], "doc_id long, quality int, toxic int")
+    assert [r.doc_id for r in residue.residue(df, labels).where("chars > 0").collect()] == [99]
