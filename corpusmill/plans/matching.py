@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
-from corpusmill.operators import dedup, ordered, similarity as S
+from corpusmill.operators import dedup, nearest, ordered, similarity as S
 from corpusmill.operators.graph import connected_components
 from corpusmill.plans import sql as Q
 from corpusmill.plans.registry import docs, query, table
@@ -358,22 +358,12 @@ def nearest_ref(spark, sf):
     containment (of pairs long enough), share of its words in runs of 13 that one has, each with its source
     (the smallest of equals), and the share in runs that any has. 0 and no source where there is none.
     Computed for contents and given to each member."""
-    b = bodies(spark, sf)
-    one = blocks(b, "reserved")
-    runs = S.shared_runs(one, (5, 13), (13,), False)
-    p = S.shared_pairs(runs.where("n = 5"))
-    j = F.col("shared") / (F.col("ma") + F.col("mb") - F.col("shared"))
-    c = F.when((F.least("na", "nb") >= 50) & (F.col("shared") >= 20), F.col("shared") / F.least("ma", "mb"))
-    best = lambda v, name, source: [F.max(v).alias(name), F.max_by(F.when(v.isNotNull(), F.col("b")), F.struct(v, -F.col("b"))).alias(source)]
-    n1 = p.select("a", "b", j.alias("j"), c.alias("c")).groupBy("a").agg(*best(F.col("j"), "max_jaccard", "jaccard_source"), *best(F.col("c"), "max_containment", "containment_source"))
-    rows = S.placed(runs.where("n = 13"))
-    sized = lambda side, k: runs.where(f"n = 13 and side = {side}").select(F.col("id").alias(k), F.col("words_n").alias(f"n{k}"))
-    v = S.covered_pairs(rows, sized(0, "a"), sized(1, "b"), 13).select("a", "b", (F.col("ca") / F.col("na")).alias("v"))
-    n2 = v.groupBy("a").agg(*best(F.col("v"), "max_coverage", "coverage_source"))
-    n3 = S.covered(rows, 13).withColumnRenamed("id", "a").join(sized(0, "a"), "a").select("a", (F.col("covered") / F.col("na")).alias("union_coverage"))
-    told = one.where("side = 0").select(F.col("id").alias("a")).join(n1, "a", "left").join(n2, "a", "left").join(n3, "a", "left").withColumnRenamed("a", "class_id")
+    b = nearest.packed(worded(spark, sf).where("source is not null").select("id", F.when(reserved(), 0).otherwise(1).alias("side"), F.array_join("words", " ").alias("body")))
+    members = materialize(nearest.contents(b).where("side = 0").select("id", "key"), "members")
+    classes = members.groupBy("key").agg(F.min("id").alias("a"))
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    return memberships(b.where("reserved")).join(told, "class_id").select("id", zero("max_jaccard"), "jaccard_source", zero("max_containment"), "containment_source", zero("max_coverage"), "coverage_source", zero("union_coverage"))
+    told = members.join(classes, "key").select("id", "a").join(nearest.nearest(b), "a", "left")
+    return told.select("id", zero("max_jaccard"), "jaccard_source", zero("max_containment"), "containment_source", zero("max_coverage"), "coverage_source", zero("union_coverage"))
 
 
 _HIT = "max_jaccard >= 0.6 or max_containment >= 0.6 or union_coverage >= 0.3"
