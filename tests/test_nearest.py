@@ -44,7 +44,7 @@ def pages(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["nearest_ref", "threshold_table"])
+@pytest.mark.parametrize("name", ["nearest_ref", "threshold_table", "overlap_review"])
 def test_pairs_of_a_template_are_not_shuffled(name, spark, pages):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{pages}/documents.parquet')")
